@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_remainder, table
+from .langid import fit_languages, predict_languages
+from .mixing import mix
 from .token_counts import count_tokens
 from .token_shards import read_token_shards, write_token_shards
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -23,12 +26,37 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(True))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    model = fit_toxicity(docs, labels)
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(True))
+    model = fit_languages(docs.filter(~held_out))
+    predicted = predict_languages(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
+    "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
+    "op9_language_id": op9_language_id,
     "op8_token_counts": op8_token_counts,
 }
 

@@ -63,10 +63,6 @@ class PieceEncoder:
         self._convert = convert
         self._memo: dict[str, object] = {}
 
-    @property
-    def vocabulary_size(self) -> int:
-        return self._tokenizer.get_vocab_size()
-
     def lookup(self, batch: list[list[str]]) -> dict[str, object]:
         """A mapping that holds every piece of ``batch``."""
         wanted: set[str] = set()
@@ -96,3 +92,27 @@ class _Both(dict):
 
     def __missing__(self, key):
         return self._back[key]
+
+
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
+
+def ids_as_bytes(width: int):
+    import numpy as np
+
+    return lambda ids: np.asarray(ids, f"<u{width}").tobytes()
+
+
+def worker_encoder(tokenizer_path: str, width: int = 0) -> PieceEncoder:
+    """This worker's encoder of a file, kept over its tasks: lengths (width 0) or ids of ``width`` bytes."""
+    key = (tokenizer_path, width)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(tokenizer_path, ids_as_bytes(width) if width else len)
+    return _ENCODERS[key]
+
+
+def id_width(tokenizer_path: str, end_id: int) -> int:
+    """Bytes that hold every id of the file, and ``end_id``."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4

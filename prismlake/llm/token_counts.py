@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import PieceEncoder, byte_batches
+from .pieces import byte_batches, worker_encoder
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,7 +20,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     null; repeated rows give repeated results; other columns are ignored, whatever their names.
     """
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path, len)
+        encoder = worker_encoder(tokenizer_path)
         for batch in batches:
             counts: list[int] = []
             for part in byte_batches(v.as_py() for v in batch.column(1)):

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import file_system, scratch_path, stored
-from .pieces import PieceEncoder, byte_batches
+from .pieces import byte_batches, id_width, worker_encoder
 from .sstable import ShardReader, ShardWriter, document_key
 
 _MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
@@ -29,6 +27,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder
     """
     spark = docs.sparkSession
     target = folder or scratch_path(spark, "token-shards")
+    width = id_width(tokenizer_path, end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -37,9 +36,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder
         part, attempt = (context.partitionId(), context.attemptNumber()) if context else (0, 0)
         files, root = file_system(target)
         files.create_dir(root, recursive=True)
-        encoder = PieceEncoder(tokenizer_path, None)
-        width = 2 if max(encoder.vocabulary_size, end_id + 1) <= 1 << 16 else 4
-        encoder._convert = lambda ids: np.asarray(ids, f"<u{width}").tobytes()
+        encoder = worker_encoder(tokenizer_path, width)
         end = end_id.to_bytes(width, "little")
         shard = sink = None
         path, seq, last, repeat = "", 0, object(), 0
@@ -102,7 +99,3 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
     return placed.mapInArrow(read, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
-
-
-def crc_of_ids(ids: bytes) -> int:
-    return zlib.crc32(ids)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, table
 from .langid import fit_languages, predict_languages
+from .minhash import near_duplicates
 from .mixing import mix
 from .token_counts import count_tokens
 from .token_shards import read_token_shards, write_token_shards
@@ -48,6 +49,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op9_language_id": op9_language_id,
     "op8_token_counts": op8_token_counts,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}

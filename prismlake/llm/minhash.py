@@ -15,6 +15,8 @@ from .shingles import band_hashes, set_key, shingle_set
 
 #: Link at 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 75
+#: Members of a bucket's largest component that meet its strays, round by round, before every stray meets all.
+TRIALS = (1, 3, 8)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -61,9 +63,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     1. Equal sets are folded to their smallest id, so copies never meet in a bucket.
     2. Sets that share a band fall in one bucket, whose smallest id is its centre. Each set is first
        compared with the least of its centres: one edge a set.
-    3. A bucket whose members are all in one component is done. In the others, all members outside
-       the bucket's largest component become centres, a growing number a round, and are compared with
-       the members of other components, until no bucket is open. So every pair of sets that shares a
+    3. A bucket whose members are all in one component is done. In the others a few members of the
+       largest component meet all that are outside it (``TRIALS``); then those still outside become
+       centres, a growing number a round, and meet all members of other components, until no
+       bucket is open. So every pair of sets that shares a
        band is compared or already connected, and buckets of copies cost one edge a member.
 
     Every link is confirmed on the full sets. A pair at the threshold shares no band with a chance
@@ -84,26 +87,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     sizes = members.groupBy("rep").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     stars = members.filter("rep <> centre").groupBy("rep").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("u"), F.col("rep").alias("v"))
     links = stored(_confirmed(_alike_in_size(stars, sizes, percent), texts, percent), "minhash-links")
-    tested, width = stars, 2
-    open_rows = members.select("bucket", "rep")
+    tested, trial, width = stars, 0, 4
+    open_rows = members.select("bucket", "rep", "n")
     while True:
-        roots = stored(components(links), "minhash-roots")
-        placed = open_rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        per_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        largest = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+        roots = components(links)
+        placed = open_rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
+        per_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+        largest = per_root.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
         open_rows = stored(placed.join(largest, "bucket"), "minhash-open")
-        strays = open_rows.filter("root <> main")
+        strays = open_rows.filter("root <> main").select("bucket", F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"))
         if strays.isEmpty():
             break
-        by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", "bucket"), "rep")
-        chosen = strays.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= width).select("bucket", F.col("rep").alias("u"), F.col("root").alias("root_u"))
-        pairs = open_rows.select("bucket", F.col("rep").alias("v"), "root").join(chosen, "bucket").filter("root <> root_u").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        fresh = stored(_alike_in_size(pairs, sizes, percent).join(tested, ["u", "v"], "left_anti"), "minhash-pairs")
+        if trial < len(TRIALS):
+            # a few members of the largest component, drawn anew each round, meet all strays of the bucket
+            draws = [F.min_by(F.struct("rep", "n", "root"), F.xxhash64("rep", F.lit(100 * trial + k))) for k in range(TRIALS[trial])]
+            met = open_rows.filter("root = main").groupBy("bucket").agg(F.array_distinct(F.array(*draws)).alias("drawn")).select("bucket", F.inline("drawn"))
+            chosen = None
+            trial += 1
+        else:
+            by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("u", "bucket"), "u")
+            chosen = strays.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= width)
+            met, strays, width = open_rows.select("bucket", "rep", "n", "root"), chosen, width * 8
+        alike = (100 * F.col("n") >= percent * F.col("n_u")) & (100 * F.col("n_u") >= percent * F.col("n"))
+        pairs = met.withColumnRenamed("bucket", "of").join(strays, (F.col("of") == F.col("bucket")) & (F.col("root") <> F.col("root_u")) & alike).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
+        fresh = stored(pairs.join(tested, ["u", "v"], "left_anti"), "minhash-pairs")
         links = stored(links.unionByName(_confirmed(fresh, texts, percent)).distinct(), "minhash-links")
         tested = stored(tested.unionByName(fresh), "minhash-tested")
-        # a centre has met its whole bucket: it leaves, and the next round looks at the rest
-        open_rows = stored(open_rows.select("bucket", "rep").join(chosen.select("bucket", F.col("u").alias("rep")), ["bucket", "rep"], "left_anti"), "minhash-open")
-        width *= 4
+        open_rows = open_rows.select("bucket", "rep", "n")
+        if chosen is not None:
+            # a centre has met its whole bucket: it leaves, and the next round looks at the rest
+            open_rows = stored(open_rows.join(chosen.select("bucket", F.col("u").alias("rep")), ["bucket", "rep"], "left_anti"), "minhash-open")
 
     same_set = folded.select("set_key", "rep")
     own = usable.select("id", "set_key").join(same_set, "set_key").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))

@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
             chosen = strays.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= width)
             met, strays, width = open_rows.select("bucket", "rep", "n", "root"), chosen, width * 8
         alike = (100 * F.col("n") >= percent * F.col("n_u")) & (100 * F.col("n_u") >= percent * F.col("n"))
-        pairs = met.withColumnRenamed("bucket", "of").join(strays, (F.col("of") == F.col("bucket")) & (F.col("root") <> F.col("root_u")) & alike).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
+        pairs = met.withColumnRenamed("bucket", "of").join(strays, (F.col("of") == F.col("bucket")) & (F.col("root") != F.col("root_u")) & alike).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
         fresh = stored(pairs.join(tested, ["u", "v"], "left_anti"), "minhash-pairs")
         links = stored(links.unionByName(_confirmed(fresh, texts, percent)).distinct(), "minhash-links")
         tested = stored(tested.unionByName(fresh), "minhash-tested")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -104,21 +103,22 @@ def write_archives(chunks: DataFrame, folder: str | None = None) -> DataFrame:
     return stored(chunks.mapInArrow(write, "path string, records long"), "warc-files")
 
 
-class _Members(io.RawIOBase):
+class _Members:
     """Plain bytes of a file of gzip members, a buffer at a time."""
 
     def __init__(self, source):
         self._source, self._packer, self._left = source, zlib.decompressobj(31), b""
 
-    def pull(self, most: int = CHUNK_BYTES) -> bytes:
+    def pull(self, most: int = 16 << 10) -> bytes:
+        """The next bytes, at most about a thousand times ``most``; empty at the end."""
         while True:
             data = self._left or self._source.read(most)
             if not data:
                 return b""
             if self._packer.eof:
                 self._packer = zlib.decompressobj(31)
-            out = self._packer.decompress(data, most)
-            self._left = self._packer.unconsumed_tail or self._packer.unused_data
+            out = self._packer.decompress(data)
+            self._left = self._packer.unused_data
             if out:
                 return out
 

@@ -85,7 +85,7 @@ def write_archives(chunks: DataFrame, folder: str | None = None) -> DataFrame:
             for row in batch.to_pylist():
                 if sink is None:
                     files.create_dir(root, recursive=True)
-                    sink = files.open_output_stream(f"{root}/{name}")
+                    sink = files.open_output_stream(f"{root}/{name}", compression=None)
                 if row["n"] == 0:
                     packer, digest = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()
                     sink.write(packer.compress(_head(row)))

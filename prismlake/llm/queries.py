@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_digests
 from .common import id_remainder, table
 from .embedding_dedup import embedding_duplicates
 from .langid import fit_languages, predict_languages
@@ -69,6 +70,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op9_language_id": op9_language_id,
+    "op4_bpe": op4_bpe,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_warc": op6_warc,
     "op7_top_k": op7_top_k,

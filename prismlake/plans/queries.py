@@ -221,9 +221,9 @@ def attach_projection(spark, sf_dir):
     return E.attach_projection(e, names).select("df_id", "name")
 
 
-@_query("SELECT doc_id, CASE WHEN length(text) >= 5 THEN [CAST(unicode(substr(text, CAST(i AS INTEGER), 1)) AS INTEGER) for i in generate_series(1, 5)] END AS codes FROM documents")
+@_query("SELECT doc_id, CASE WHEN length(text) >= 5 THEN array_to_string([CAST(unicode(substr(text, CAST(i AS INTEGER), 1)) AS VARCHAR) for i in generate_series(1, 5)], ',') END AS codes FROM documents")
 def text_code_embedding(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", S.text_code_embedding(F.col("text")).alias("codes"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(S.text_code_embedding(F.col("text")), ",").alias("codes"))
 
 
 @_query("SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) / n for x in embedding]), 5) AS total FROM (SELECT vec_id, embedding, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in embedding])) AS n FROM embeddings)")

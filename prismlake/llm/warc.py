@@ -16,6 +16,7 @@ from .common import file_system, scratch_path, stored
 CHUNK_BYTES = 256 << 10
 #: Smaller payloads are stored again and not referred to.
 LEAST_REVISIT_BYTES = 1000
+MOST_TASKS = 20_000
 _RECORD_ID = "<urn:uuid:%s>"
 _CHUNKS = "record string, n int, last boolean, page_id long, url string, payload_bytes long, digest string, refers_to long, chunk binary"
 
@@ -175,7 +176,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return files.select("path").repartition("path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # a stated number of tasks: these short rows stand for large files, which adaptive coalescing cannot see
+    return files.select("path").repartition(max(1, min(files.count(), MOST_TASKS)), "path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from .common import file_system, scratch_path, stored
 from .pieces import byte_batches, id_width, worker_encoder
 from .sstable import ShardReader, ShardWriter, document_key
 
+#: Shards are read in a stated number of tasks: adaptive coalescing cannot see how large they are.
+MOST_TASKS = 20_000
+
 _MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 
 
@@ -77,7 +80,7 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     unsigned 32-bit). Only the list of shards, one short row a shard, is ordered in one task.
     """
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.select("path", before.alias("first")).repartition("path")
+    placed = manifest.select("path", before.alias("first")).repartition(max(1, min(manifest.count(), MOST_TASKS)), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "start", "n_tokens", "ids"]

@@ -1,7 +1,7 @@
 """Exact, fast encoding of long texts with a byte-level BPE tokenizer file.
 
 A byte-level pre-tokenizer takes white space only at the start of a piece, so a text may be cut
-before any space that follows a character that is not white space: no piece, merge or special
+before any space or line end that follows a character that is not white space: no piece, merge or special
 string spans such a cut. Pieces repeat heavily, so each distinct piece is encoded once per worker
 and looked up afterwards; the memo is bounded and only a cache.
 """
@@ -12,8 +12,8 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= )")
+_NOT_PLAIN = re.compile(r"\s[ \n]|\0")
+_SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 #: Longer pieces are encoded each time they occur instead of being remembered.
 MEMO_PIECE_CHARS = 48
@@ -24,13 +24,10 @@ def safe_pieces(text: str) -> list[str]:
     """Cut ``text`` at every safe boundary; joined again the pieces are the text."""
     if not text:
         return []
-    if _SPACE_AFTER_SPACE.search(text):
+    if _NOT_PLAIN.search(text):
         return _SAFE_CUT.split(text)
-    head, *rest = text.split(" ")
-    pieces = [" " + word for word in rest]
-    if head:
-        pieces.insert(0, head)
-    return pieces
+    pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    return pieces if pieces[0] else pieces[1:]
 
 
 def byte_batches(texts: Iterable[str | None], max_chars: int = 1 << 20) -> Iterator[list[list[str]]]:

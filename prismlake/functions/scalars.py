@@ -31,7 +31,8 @@ def to_number(value: Column, missing: float | None = None) -> Column:
 
 def plain_double(value: Column) -> Column:
     """A double's text without an exponent, as identifiers use it."""
-    return F.format_string("%s", F.when((F.abs(value) >= 1e-3) | (value == 0), value.cast("string")).otherwise(F.format_number(value, "0.0###############")))
+    plain = F.call_function("format_number", value, F.lit("0.0###############"))
+    return F.when((F.abs(value) >= 1e-3) | (value == 0), value.cast("string")).otherwise(plain)
 
 
 def iso_utc(ts: Column) -> Column:

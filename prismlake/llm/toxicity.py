@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .ngrams import gram_slots
 
 SIZES = (3, 4, 5)
@@ -17,7 +18,7 @@ BITS = 20
 #: At most about this many labelled rows are learned from, drawn by a hash of the id.
 SAMPLE_ROWS = 8000
 #: Features kept: those whose share differs between the labels by so many standard errors.
-LEAST_Z, MOST_FEATURES = 4.5, 2048
+LEAST_Z, MOST_FEATURES = 4.5, 1024
 RIDGE = 0.1
 
 
@@ -65,36 +66,48 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     rows = texts.join(F.broadcast(pairs), F.col("id") == F.col("_id")).select("body", "label")
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = stored(rows.coalesce(4), "toxicity-sample")
+    of_label = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = of_label.get(1, 0), of_label.get(0, 0)
+    place = np.full(1 << BITS, -1, np.int32)
+    if not n1 or not n0:
+        share = (n1 + 0.5) / (n1 + n0 + 1)
+        return ToxicityModel(place, np.zeros(0), float(np.log(share / (1 - share))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with_label = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
-            slots = [_features(t.as_py()).astype("<u4").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), batch.column(1)], names=["slots", "label"])
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                with_label[label][_features(text.as_py())] += 1
+        used = np.flatnonzero(with_label.any(0))
+        for at in range(0, len(used), 1 << 16):
+            part = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(with_label[1][part]), pa.array(with_label[0][part])], names=["slot", "with_1", "with_0"])
+
+    # documents that hold a slot, by label; only the telling slots leave Spark
+    held = stored(sample.mapInArrow(count, "slot int, with_1 int, with_0 int").groupBy("slot").agg(F.sum("with_1").alias("with_1"), F.sum("with_0").alias("with_0")), "toxicity-counts")
+    all_1, all_0 = held.agg(F.sum("with_1"), F.sum("with_0")).first()
+    pooled = (F.col("with_1") + F.col("with_0")) / float(n1 + n0)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    z = F.abs(F.col("with_1") / n1 - F.col("with_0") / n0) / error
+    chosen = held.withColumn("z", z).filter((F.col("with_1") + F.col("with_0") >= 3) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "slot").limit(MOST_FEATURES).toPandas().sort_values("slot")
+    place[chosen["slot"].to_numpy()] = np.arange(len(chosen))
+    ratio = np.log((chosen["with_1"].to_numpy() + 1.0) / (all_1 + 1)) - np.log((chosen["with_0"].to_numpy() + 1.0) / (all_0 + 1))
+    shared = docs.sparkSession.sparkContext.broadcast(place)
 
-    sample = rows.mapInArrow(extract, "slots binary, label int").toPandas()
-    y = sample["label"].to_numpy(np.float64)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    empty = np.full(1 << BITS, -1, np.int32)
-    if not n1 or not n0:
-        share = (n1 + 0.5) / (len(y) + 1)
-        return ToxicityModel(empty, np.zeros(0), float(np.log(share / (1 - share))))
-    docs = [np.frombuffer(b, "<u4") for b in sample["slots"]]
-    with_1, with_0 = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for slots, label in zip(docs, y):
-        (with_1 if label else with_0)[slots] += 1
-    pooled = (with_1 + with_0) / len(y)
-    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
-    z = np.abs(with_1 / n1 - with_0 / n0) / error
-    z[(with_1 + with_0) < 3] = 0
-    chosen = np.flatnonzero(z >= LEAST_Z)
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
-    place = empty
-    place[chosen] = np.arange(len(chosen))
-    ratio = np.log((with_1[chosen] + 1) / (with_1.sum() + 1)) - np.log((with_0[chosen] + 1) / (with_0.sum() + 1))
-    x = np.zeros((len(y), len(chosen)))
-    for k, slots in enumerate(docs):
-        at = place[slots]
-        x[k, at[at >= 0]] = 1
-    weight, bias = _logistic(x * ratio, y, RIDGE)
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0):
+                at = shared.value[gram_slots(text.as_py().lower(), SIZES, BITS)]
+                found.append(np.unique(at[at >= 0]).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["held", "label"])
+
+    matrix = sample.mapInArrow(extract, "held array<int>, label int").toPandas()
+    x, y = np.zeros((len(matrix), len(chosen))), matrix["label"].to_numpy(np.float64)
+    for k, at in enumerate(matrix["held"]):
+        x[k, at] = ratio[at]
+    weight, bias = _logistic(x, y, RIDGE)
     return ToxicityModel(place, weight * ratio, bias)
 
 

@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
 from .pieces import safe_pieces
 
-#: Text bytes of the documents whose words are looked up together in one task.
-BLOCK_BYTES = 32 << 20
+#: Characters of the documents whose distinct words are encoded together.
+CHUNK_CHARS = 24 << 20
 #: Longer words (runs without a break, such as base64) are merged by the tokenizer library instead.
 FOLD_BYTES = 64
-BUCKETS = 1 << 16
+#: No piece has this number; it marks empty slots of the rank map.
+_NO_PIECE = (1 << 20) - 2
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -35,151 +35,232 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rank_literal(pieces: list[bytes]) -> Column:
-    """All mergeable pairs as one constant: buckets of packed (left, right, merged).
+def _rank_table(pieces: list[bytes]) -> tuple[list[int], list[int]]:
+    """(shift of each left piece, slots): the pair (left, right) is in slot shift + right as left and merged id.
 
-    Two pieces merge where their bytes together are a piece, whose rank is its number. A pair's
-    bucket is left * 31 + right modulo ``BUCKETS``, so a lookup reads a handful of entries.
+    Two pieces merge where their bytes together are a piece, whose rank is its number. The rows of
+    all left pieces lie over each other in one array, moved so that no two entries share a slot.
     """
     number = {piece: k for k, piece in enumerate(pieces)}
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    rows: dict[int, list[tuple[int, int]]] = {}
     for merged, piece in enumerate(pieces):
         for cut in range(1, len(piece)):
             left, right = number.get(piece[:cut]), number.get(piece[cut:])
             if left is not None and right is not None:
-                buckets[(left * 31 + right) % BUCKETS].append(((left << 20 | right) << 20) | merged)
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
-
-
-def folded_ids(symbols: Column, table: Column) -> Column:
-    """Merge ``symbols`` (array of ids) by rank: at each step the leftmost pair of the least rank."""
-    def merged(left: Column, right: Column, known: Column) -> Column:
-        pair = F.shiftleft(left.cast("long"), 20).bitwiseOR(right.cast("long"))
-        bucket = F.get(known, F.pmod(left * 31 + right, F.lit(BUCKETS)).cast("int"))
-        return F.get(F.filter(bucket, lambda e: F.shiftright(e, 20) == pair), F.lit(0)).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-
-    def step(ids: Column, known: Column) -> Column:
-        n = F.size(ids)
-        ranks = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), lambda a, b: merged(a, b, known))
-        return _let(ranks, lambda r: _let(F.array_min(r), lambda best: F.when(best.isNull(), ids).otherwise(
-            _let(F.array_position(r, best).cast("int"), lambda at: F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, n - at - 1))))))
-
-    # a fold over the number of merges a word can have; a step that changes nothing ends the merging
-    return _let(table, lambda known: F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(symbols), F.lit(1))),
-        F.struct(symbols.alias("ids"), F.lit(False).alias("done")),
-        lambda state, _: F.when(state["done"] | (F.size(state["ids"]) < 2), F.struct(state["ids"].alias("ids"), F.lit(True).alias("done"))).otherwise(
-            _let(step(state["ids"], known), lambda new: F.struct(new.alias("ids"), (F.size(new) == F.size(state["ids"])).alias("done")))),
-        lambda state: state["ids"]))
-
-
-def _distinct_words(blocks: DataFrame, pattern: str) -> DataFrame:
-    """(block, word, bytes) for the distinct pattern matches of each block."""
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+                rows.setdefault(left, []).append((right, merged))
+    slots = np.full(len(pieces) + 3 * sum(map(len, rows.values())), _NO_PIECE << 20, np.int64)
+    free = np.ones(len(slots), bool)
+    shifts = [0] * len(pieces)
+    ordered = sorted(rows.items(), key=lambda item: (-len(item[1]), item[0]))
+    for left, row in ordered:
+        rights = np.array([right for right, _ in row])
+        lowest, most = -int(rights.min()), len(slots) - int(rights.max())
+        if len(row) == 1:
+            break
+        at = lowest + left * 40503 % (most - lowest)
+        while not (fits := free[(tries := np.arange(at, min(at + 256, most)))[:, None] + rights].all(1)).any():
+            at = at + 256 if at + 256 < most else lowest
+        shifts[left] = int(tries[fits.argmax()])
+        slots[shifts[left] + rights] = [left << 20 | merged for _, merged in row]
+        free[shifts[left] + rights] = False
+    for slot, (left, [(right, merged)]) in zip(np.flatnonzero(free).tolist(), (item for item in ordered if len(item[1]) == 1)):
+        shifts[left] = slot - right
+        slots[slot], free[slot] = left << 20 | merged, False
+    last = int(np.flatnonzero(~free).max()) if rows else 0
+    return shifts, slots[: last + 1].tolist()
 
-        match = regex.compile(pattern).findall
-        cut: dict[int, set[str]] = {}
-        for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                cut.setdefault(block, set()).update(safe_pieces(text.as_py()))
-        for block in list(cut):
-            found: set[str] = set()
-            for piece in cut.pop(block):
-                found.update(match(piece))
-            listed = list(found)
-            for at in range(0, len(listed), 20_000):
-                part = listed[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], names=["block", "word"])
-
-    return blocks.select("block", "body").mapInArrow(words, "block int, word string")
-
-
-def _encode_long(words: DataFrame, pieces_path: str, pattern: str) -> DataFrame:
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
 
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={p: k for k, p in enumerate(read_ranks(pieces_path))}, special_tokens={})
-        for batch in batches:
-            ids = [own._encode_single_piece(w.encode()) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), batch.column(1)], names=["word", "ids", "blocks"])
+def rank_literal(pieces: list[bytes]) -> Column:
+    """The rank map as one constant: struct of ``shifts`` and ``slots``."""
+    shifts, slots = _rank_table(pieces)
+    return F.from_json(F.lit(json.dumps({"shifts": shifts, "slots": slots}, separators=(",", ":"))), "shifts array<int>, slots array<bigint>")
 
-    return words.mapInArrow(encode, "word string, ids array<int>, blocks array<int>")
 
+def folded_ids(symbols: Column, shifts: Column, slots: Column) -> Column:
+    """Merge ``symbols`` (array of ids) by rank: at each step the leftmost pair of the least rank.
+
+    The fold carries one number per symbol: the rank of its pair with the next symbol, its place and
+    its id, 20 bits each below the rank, between two stops. The least number is the next merge, and
+    only the two pairs that it touches are looked up anew.
+    """
+    none, low = 1 << 20, F.lit((1 << 20) - 1)
+
+    def rank(left: Column, right: Column) -> Column:
+        # a slot of another left piece differs above bit 20, a stop has no slot
+        slot = F.get(slots, F.get(shifts, left) + right)
+        return F.shiftleft(F.least(slot.bitwiseXOR(F.shiftleft(left.cast("long"), 20)), F.lit(none)), 40)
+
+    def number(entry: Column) -> Column:
+        return entry.bitwiseAND(low).cast("int")
+
+    def step(state: Column, at: Column) -> Column:
+        before, this, after = F.get(state, at - 2), F.get(state, at - 1), F.get(state, at + 1)
+        merged = F.shiftright(this, 40)
+        left = rank(number(before), merged.cast("int")).bitwiseOR(before.bitwiseAND(F.lit((1 << 40) - 1)))
+        here = rank(merged.cast("int"), number(after)).bitwiseOR(this.bitwiseAND(F.lit(((1 << 20) - 1) << 20))).bitwiseOR(merged)
+        return F.concat(F.slice(state, F.lit(1), at - 2), F.array(left, here), F.slice(state, at + 2, F.lit(1 << 20)))
+
+    def turn(state: Column) -> Column:
+        return _let(F.array_min(state), lambda best: F.when(best >= none << 40, state).otherwise(
+            _let(F.array_position(state, best).cast("int"), lambda at: step(state, at))))
+
+    stop = F.array(F.lit(none << 40 | (1 << 20) - 1))
+    inner = F.transform(symbols, lambda s, i: rank(s, F.coalesce(F.get(symbols, i + 1), F.lit((1 << 20) - 1))).bitwiseOR(F.shiftleft(i.cast("long"), 20)).bitwiseOR(s.cast("long")))
+    whole = F.aggregate(F.sequence(F.lit(2), F.size(symbols)), F.concat(stop, inner, stop), lambda state, _: turn(state), lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), number))
+    return F.when(F.size(symbols) < 2, symbols).otherwise(whole)
 
-def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: id and ``token_ids`` (array of int).
 
-    Documents are dealt into blocks of about ``block_bytes``. The distinct words (pattern matches)
-    of all blocks are encoded once each, by folding ranked merges over their bytes in Spark; words of
-    more than ``FOLD_BYTES`` bytes go through the tokenizer library. Each block then meets the
-    ids of its own words, and its texts become lookups. Special strings are ordinary text. Null and
-    empty texts have no ids; null ids and repeated rows are kept; other columns are ignored.
+class _Numbers(dict):
+    """Numbers its keys in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _packed(values) -> bytes:
+    return np.asarray(values, "<i4").tobytes()
+
+
+def _word_symbols(words: list[str], ranks: dict[bytes, int], long_ids) -> pa.Array:
+    """The ids that the fold starts from: a word that is a piece has that piece's id, others their bytes' ids.
+
+    ``long_ids`` merges words of more than ``FOLD_BYTES`` bytes.
     """
-    pieces = read_ranks(ranks_path)
-    single = [pieces.index(bytes([b])) for b in range(256)]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(count)).cast("int")).repartition("block")
-
-    words = _distinct_words(blocks, pattern).groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    size = F.octet_length("word")
-    as_hex = F.hex(F.col("word").cast("binary"))
-    values = F.transform(F.sequence(F.lit(1), size), lambda i: F.conv(F.substring(as_hex, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
-    symbols = F.transform(values, lambda b: F.get(F.array(*[F.lit(s) for s in single]), b))
-    words = stored(words, "bpe-words")
-    short = words.filter(size <= FOLD_BYTES).select("word", folded_ids(symbols, rank_literal(pieces)).alias("ids"), "blocks")
-    known = short.unionByName(_encode_long(words.filter(size > FOLD_BYTES).select("word", "blocks"), ranks_path, pattern))
-    known = known.select("word", "ids", F.explode("blocks").alias("block"))
-
-    def look_up(key, texts: pa.Table, words: pa.Table) -> pa.Table:
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    encoded = [w.encode() for w in words]
+    whole = {k: [ranks[w]] if w in ranks else long_ids(w) for k, w in enumerate(encoded) if w in ranks or len(w) > FOLD_BYTES}
+    folded = [w for k, w in enumerate(encoded) if k not in whole]
+    data = byte_ids[np.frombuffer(b"".join(folded), np.uint8)]
+    ends = np.r_[0, np.cumsum([len(w) for w in folded], dtype=np.int64)].astype(np.int32)
+    plain = pa.ListArray.from_arrays(pa.array(ends), pa.array(data))
+    place = np.empty(len(words), np.int64)
+    rest = np.ones(len(words), bool)
+    rest[list(whole)] = False
+    place[rest] = np.arange(len(folded))
+    place[~rest] = np.arange(len(folded), len(words))
+    return pa.concat_arrays([plain, pa.array(list(whole.values()), pa.list_(pa.int32()))]).take(pa.array(place))
+
+
+def _cut_in_words(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int) -> DataFrame:
+    """Chunks of documents: their distinct words as ``symbols``, and the texts as numbers of pieces of words."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        import tiktoken
 
+        ranks = {p: k for k, p in enumerate(read_ranks(ranks_path))}
         match = regex.compile(pattern).findall
-        flat = words.column("ids").combine_chunks()
-        ends, data = flat.offsets.to_numpy(), flat.values.to_numpy().astype("<i4").tobytes()
-        ids_of = {w: data[4 * a : 4 * b] for w, a, b in zip(words.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist())}
+        library: list[tiktoken.Encoding] = []
+
+        def long_ids(word: bytes) -> list[int]:
+            if not library:
+                library.append(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
+            return library[0]._encode_single_piece(word)
+
+        ids: list[int | None] = []
+        counts: list[int] = []
+        numbers: list[bytes] = []
+        pieces, size = _Numbers(), 0
+
+        def chunk() -> pa.RecordBatch:
+            words = _Numbers()
+            lengths, of_pieces = [], []
+            for piece in pieces:
+                found = match(piece)
+                lengths.append(len(found))
+                of_pieces.extend(map(words.__getitem__, found))
+            symbols = _word_symbols(list(words), ranks, long_ids)
+            columns = [pa.array([ids], pa.list_(pa.int64()))]
+            columns += [pa.array([v], pa.binary()) for v in (_packed(counts), b"".join(numbers), _packed(lengths), _packed(of_pieces))]
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(symbols)], pa.int32()), symbols))
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "counts", "numbers", "lengths", "words", "symbols"])
 
-        class Memo(dict):
-            def __missing__(self, piece: str) -> bytes:
-                found = b"".join(map(ids_of.__getitem__, match(piece)))
-                self[piece] = found
-                return found
-
-        memo = Memo()
-        out = [b"".join(map(memo.__getitem__, safe_pieces(t.as_py()))) for t in texts.column("body")]
-        offsets = np.r_[0, np.cumsum([len(b) // 4 for b in out])].astype(np.int32)
-        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        return pa.table({"id": texts.column("id"), "token_ids": listed})
-
-    joined = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(look_up, "id long, token_ids array<int>")
-    return joined.withColumnRenamed("id", id_col)
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                parts = safe_pieces(text)
+                ids.append(doc_id)
+                counts.append(len(parts))
+                numbers.append(_packed(list(map(pieces.__getitem__, parts))))
+                size += len(text)
+                if size >= chunk_chars:
+                    yield chunk()
+                    ids, counts, numbers, pieces, size = [], [], [], _Numbers(), 0
+        if ids:
+            yield chunk()
+
+    return docs.mapInArrow(cut, "ids array<long>, counts binary, numbers binary, lengths binary, words binary, symbols array<array<int>>")
+
+
+def _gathered(data: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices ``picks`` of ``data`` one after another, and where each ends up."""
+    starts = offsets[picks]
+    sizes = offsets[picks + 1] - starts
+    ends = np.r_[0, np.cumsum(sizes)]
+    return data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
+
+
+def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """One row per row of ``docs``: id and ``token_ids`` (array of int).
 
+    Nothing is shuffled. Each task cuts its documents into chunks of about ``chunk_chars``; a chunk is
+    one row with its distinct words (pattern matches) and its texts as numbers of these. Spark folds
+    the ranked merges over the byte arrays of a chunk's words; words of more than ``FOLD_BYTES``
+    bytes go through the tokenizer library. The texts then become lookups. A document longer than a
+    chunk makes a chunk of its own. Special strings are ordinary text. Null and empty texts have no
+    ids; null ids and repeated rows are kept; other columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    chunks = _cut_in_words(rows, ranks_path, pattern, chunk_chars)
+    fold = _let(rank_literal(read_ranks(ranks_path)), lambda known: F.transform("symbols", lambda word: folded_ids(word, known["shifts"], known["slots"])))
+    folded = chunks.select("ids", "counts", "numbers", "lengths", "words", fold.alias("tokens"))
 
-def decode_bpe(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids") -> DataFrame:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, tokens = batch.column(0)[row].values, batch.column(5)[row].values
+                counts, numbers, lengths, words = (np.frombuffer(batch.column(k)[row].as_buffer(), "<i4") for k in (1, 2, 3, 4))
+                word_ends = tokens.offsets.to_numpy().astype(np.int64)
+                data, ends = _gathered(tokens.values.to_numpy(), word_ends, words)
+                data, ends = _gathered(data, ends[np.r_[0, np.cumsum(lengths)]], numbers)
+                ends = ends[np.r_[0, np.cumsum(counts)]]
+                for at in range(0, len(ids), 1000):
+                    part = ends[at : at + 1001]
+                    listed = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(data[part[0] : part[-1]]))
+                    yield pa.RecordBatch.from_arrays([ids[at : at + 1000], listed], names=["id", "token_ids"])
+
+    return folded.mapInArrow(look_up, "id long, token_ids array<int>").withColumnRenamed("id", id_col)
+
+
+def decode_bpe(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", keep_ids: bool = True) -> DataFrame:
     """``encoded`` with ``decoded`` (the ids' pieces joined, binary) and ``id_bytes`` (little-endian 32-bit ids).
 
-    A null list decodes to null; an id outside the vocabulary raises.
+    A null list decodes to null; an id outside the vocabulary raises. Without ``keep_ids`` the list
+    itself is left out.
     """
+    held = [c for c in encoded.columns if c not in ("decoded", "id_bytes", ids_col)]
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = read_ranks(ranks_path)
+        piece_of = read_ranks(ranks_path).__getitem__
         for batch in batches:
             decoded, packed = [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(len(held)):
                 ids = None if value.values is None else value.values.to_numpy(zero_copy_only=False)
-                decoded.append(None if ids is None else b"".join(map(pieces.__getitem__, ids.tolist())))
+                decoded.append(None if ids is None else b"".join(map(piece_of, ids.tolist())))
                 packed.append(None if ids is None else ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(decoded, pa.binary()), pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], "_decoded", "_packed"])
+            columns = batch.columns if keep_ids else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.binary()), pa.array(packed, pa.binary())], names=[*batch.schema.names[: len(columns)], "_decoded", "_packed"])
 
-    kept = ", ".join(f"`_{k}` {f.dataType.simpleString()}" for k, f in enumerate(encoded.schema.fields))
-    slim = encoded.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(encoded.columns)], F.col(ids_col).alias("_ids"))
-    out = slim.mapInArrow(decode, f"{kept}, _decoded binary, _packed binary")
-    return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(encoded.columns) if c not in ("decoded", "id_bytes")], F.col("_decoded").alias("decoded"), F.col("_packed").alias("id_bytes"))
+    slim = encoded.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(held)], F.col(f"`{ids_col}`").alias("_ids"))
+    fields = slim.schema.fields if keep_ids else slim.schema.fields[:-1]
+    out = slim.mapInArrow(decode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ("," if fields else "") + " _decoded binary, _packed binary")
+    listed = [F.col("_ids").alias(ids_col)] if keep_ids else []
+    return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(held)], *listed, F.col("_decoded").alias("decoded"), F.col("_packed").alias("id_bytes"))
 
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode, decode and digest: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     encoded = encode_bpe(docs, ranks_path, pattern)
-    decoded = decode_bpe(encoded, ranks_path)
-    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    decoded = decode_bpe(encoded, ranks_path, keep_ids=False)
+    n_tokens = (F.octet_length("id_bytes") / 4).cast("long")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -16,7 +16,7 @@ from .shingles import band_hashes, set_key, shingle_set
 #: Link at 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 75
 #: Members of a bucket's largest component that meet its strays, round by round, before every stray meets all.
-TRIALS = (1, 3, 8)
+TRIALS = (4,)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     sizes = members.groupBy("rep").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     stars = members.filter("rep <> centre").groupBy("rep").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("u"), F.col("rep").alias("v"))
     links = stored(_confirmed(_alike_in_size(stars, sizes, percent), texts, percent), "minhash-links")
-    tested, trial, width = stars, 0, 4
+    tested, trial, width = stars, 0, 64
     open_rows = members.select("bucket", "rep", "n")
     while True:
         roots = components(links)
@@ -107,12 +107,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         else:
             by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("u", "bucket"), "u")
             chosen = strays.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= width)
-            met, strays, width = open_rows.select("bucket", "rep", "n", "root"), chosen, width * 8
+            met, strays, width = open_rows.select("bucket", "rep", "n", "root"), chosen, width * 64
         alike = (100 * F.col("n") >= percent * F.col("n_u")) & (100 * F.col("n_u") >= percent * F.col("n"))
         pairs = met.withColumnRenamed("bucket", "of").join(strays, (F.col("of") == F.col("bucket")) & (F.col("root") != F.col("root_u")) & alike).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
         fresh = stored(pairs.join(tested, ["u", "v"], "left_anti"), "minhash-pairs")
-        links = stored(links.unionByName(_confirmed(fresh, texts, percent)).distinct(), "minhash-links")
-        tested = stored(tested.unionByName(fresh), "minhash-tested")
+        links = links.unionByName(stored(_confirmed(fresh, texts, percent), "minhash-links"))
+        tested = tested.unionByName(fresh)
         open_rows = open_rows.select("bucket", "rep", "n")
         if chosen is not None:
             # a centre has met its whole bucket: it leaves, and the next round looks at the rest

@@ -116,6 +116,20 @@ def test_language_of_held_out(spark):
     assert predict_languages(docs, fit_languages(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+def plain_components(texts):
+    """Shingle sets and smallest reachable index, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    linked = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 75 * len(a | b)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    return sets, root
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     texts, base = [], [f"w{k}" for k in rng.integers(0, 5000, 120)]
@@ -125,22 +139,31 @@ def test_near_duplicates_equal_brute_force(spark):
             t[k] = f"x{rng.integers(0, 9999)}"
         texts.append(" ".join(t))
     texts += [" ".join(f"w{k}" for k in rng.integers(0, 5000, 30)) for _ in range(40)] + ["", None, "A b", "a B", "one", texts[3], " ".join(base[:60])]
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(texts)))
-    for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                    root[i] = root[j] = min(root[i], root[j])
+    sets, root = plain_components(texts)
     got = {r.doc_id: r for r in near_duplicates(documents(spark, texts)).collect()}
     assert [got[i].component_id for i in range(len(texts))] == root
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_that_share_a_passage(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    passage, texts = word(100), []
+    for i in range(150):
+        own = passage + word(int(rng.integers(12, 45)))
+        texts += [" ".join(own), " ".join(own[:-3] + word(3))][: 1 + (i % 3 == 0)]
+    rng.shuffle(texts)
+    sets, root = plain_components(texts)
+    for size in (1 << 19, 900):
+        monkeypatch.setattr("prismlake.llm.minhash.BLOCK_SHINGLES", size)
+        got = {r.doc_id: r for r in near_duplicates(documents(spark, texts)).collect()}
+        assert [got[i].component_id for i in range(len(texts))] == root
+    assert 1 < len(set(root)) < len(texts)
+    repeated = documents(spark, texts[:40]).union(documents(spark, ["", None, texts[0], " ".join(word(9))])).withColumn("n", F.lit("clash")).withColumn("root", F.lit(0))
+    assert near_duplicates(repeated).count() == 44
+
+
 def vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 8))

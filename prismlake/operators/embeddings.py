@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -15,8 +16,8 @@ from ..functions.scalars import dot, l2_normalize
 from ..functions.spatial import sphere_to_latlon
 from .schema import SEMANTIC_LAT, SEMANTIC_LON
 
-#: Rows of queries that may be broadcast.
-MOST_QUERIES = 10_000
+#: Vectors in a block.
+QUERY_ROWS, ITEM_ROWS = 256, 4096
 
 
 def missing_embeddings(items: DataFrame, known: DataFrame, recompute: bool = False) -> DataFrame:
@@ -62,20 +63,91 @@ def attach_projection(items: DataFrame, coordinates: DataFrame) -> DataFrame:
     return items.join(assert_unique_key(coordinates, "UUID_STRING"), "UUID_STRING", "left")
 
 
+def _blocks(vectors: DataFrame, rows: int, label: str) -> DataFrame:
+    """(tile, dims, ids, data): up to ``rows`` vectors (id, vector of doubles) of one length a row, in order of id.
+
+    The ids keep their type. Blocks are cut from each partition, numbered in it, and stored, so their
+    numbers stay.
+    """
+    from ..llm.common import stored
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part, made = context.partitionId() if context else 0, 0
+        held: dict[int, tuple[list, list]] = {}
+
+        def block(dims: int, kind: pa.DataType) -> pa.RecordBatch:
+            nonlocal made
+            ids, data = held.pop(dims)
+            made += 1
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([dims], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([np.asarray(data, "<f8").tobytes()])], names=["tile", "dims", "ids", "data"])
+
+        kind = pa.null()
+        for batch in batches:
+            kind = batch.column(0).type
+            for row_id, vector in zip(batch.column(0), batch.column(1)):
+                values = np.asarray(vector.values, np.float64)
+                ids, data = held.setdefault(len(values), ([], []))
+                ids.append(row_id.as_py())
+                data.append(values)
+                if len(ids) == rows:
+                    yield block(len(values), kind)
+        for dims in list(held):
+            yield block(dims, kind)
+
+    id_type = vectors.schema["id"].dataType.simpleString()
+    return stored(vectors.sortWithinPartitions("id").mapInArrow(pack, f"tile long, dims int, ids array<{id_type}>, data binary"), label)
+
+
+def nearest(queries: np.ndarray, items: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of ``queries`` the places and distances of the ``k`` nearest ``items``, ties to the earlier place.
+
+    One matrix product finds the candidates with a margin for its rounding; their distances are summed
+    again one by one, in the same order for equal vectors, so that equal vectors tie.
+    """
+    near = queries @ items.T
+    for query, row in zip(queries, near):
+        at = np.arange(len(items))
+        if len(items) > k:
+            at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9)
+        distance = 1 - (items[at] * query).sum(1)
+        best = np.lexsort((at, distance))[:k]
+        yield at[best], distance[best]
+
+
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The ``k`` nearest ``items`` of each query by cosine distance; at most ``MOST_QUERIES`` queries.
+    """The ``k`` nearest ``items`` of each query by cosine distance, for any number of queries.
 
-    Queries are counted before they are broadcast; every item meets every query where it lies and each
-    partition's candidates are ranked by Spark.
+    Queries and items are packed in blocks; each pair of blocks is one task's matrix product that
+    returns the block's ``k`` best of each query, and Spark ranks the blocks' answers. Work grows with
+    queries times items. Vectors that are null, empty, or hold null or non-finite components take no
+    part; vectors of another length are not candidates; a zero vector is at distance 1 of all.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; send them in parts of {MOST_QUERIES}")
-    q = queries.select(F.col(id_col).alias("query_id"), l2_normalize(F.col(vector_col)).alias("_q"))
-    c = items.select(id_col, l2_normalize(F.col(vector_col)).alias("_v"))
-    scored = c.join(F.broadcast(q), F.size("_q") == F.size("_v")).select("query_id", id_col, (1 - dot(F.col("_q"), F.col("_v"))).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    from ..llm.tiles import is_usable, tile_pairs
+
+    def unit(df: DataFrame) -> DataFrame:
+        return df.filter(is_usable(vector_col)).select(F.col(id_col).alias("id"), l2_normalize(F.col(vector_col)).alias("v"))
+
+    pairs = tile_pairs(_blocks(unit(queries), QUERY_ROWS, "cosine-queries"), _blocks(unit(items), ITEM_ROWS, "cosine-items"), ordered=False)
+    kinds = [df.schema[id_col].dataType.simpleString() for df in (queries, items)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            for n in range(batch.num_rows):
+                of = {name: batch.column(c)[n] for name, c in at.items()}
+                dims = of["dims"].as_py()
+                q, v = (np.frombuffer(of[c].as_py(), "<f8").reshape(-1, dims) for c in ("data_a", "data_b"))
+                places, distances = zip(*nearest(q, v, k))
+                whose = np.repeat(np.arange(len(q)), [len(p) for p in places])
+                yield pa.RecordBatch.from_arrays([of["ids_a"].values.take(pa.array(whose)), of["ids_b"].values.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(distances))], names=["query_id", "id", "distance"])
+
+    found = pairs.mapInArrow(search, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("id").alias(id_col), "distance", "rank")
 
 
 def project_to_sphere(df: DataFrame, vector_col: str = "SEMANTIC_EMBEDDING") -> DataFrame:

@@ -66,7 +66,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     rows = texts.join(F.broadcast(pairs), F.col("id") == F.col("_id")).select("body", "label")
 
-    sample = stored(rows.coalesce(4), "toxicity-sample")
+    sample = stored(rows.repartition(4), "toxicity-sample")
     of_label = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = of_label.get(1, 0), of_label.get(0, 0)
     place = np.full(1 << BITS, -1, np.int32)

@@ -26,7 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents not predicted as ``und``: null texts and those without a letter go, and all if no language was learned.
+
+    The classifier's answer and score have no say in what goes.
+    """
     learned = docs.filter(F.coalesce(id_remainder("doc_id", 4) != 2, F.lit(False)))
     predicted = predict_languages(docs, fit_languages(learned))
     return predicted.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

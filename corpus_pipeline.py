@@ -63,7 +63,7 @@ STAGES = [
     ("bpe_round_trip", encode_and_decode),
 ]
 
-#: The trained classifiers and the MinHash groups are beyond SQL; the tests hold the stages against plain versions.
+#: The trained classifiers and the MinHash groups are beyond SQL; no test holds run() or the stages against plain versions yet.
 ORACLE_SQL = None
 
 

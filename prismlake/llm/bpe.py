@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +15,15 @@ from pyspark.sql import functions as F
 
 from .pieces import safe_pieces
 
-#: Characters of the documents whose distinct words are encoded together.
-CHUNK_CHARS = 24 << 20
-#: Longer words (runs without a break, such as base64) are merged by the tokenizer library instead.
-FOLD_BYTES = 64
-#: No piece has this number; it marks empty slots of the rank map.
-_NO_PIECE = (1 << 20) - 2
+#: Characters of text that leave a task as one row; a longer document makes a row of its own.
+FLUSH_CHARS = 2 << 20
+#: A task forgets its words after so many characters of distinct pieces, which bounds its memory.
+DICTIONARY_CHARS = 16 << 20
 
 
+@lru_cache(maxsize=2)
 def read_ranks(path: str) -> list[bytes]:
-    """The pieces of a rank file, by rank."""
+    """The pieces of a rank file, by rank; a worker reads it once."""
     with open(path, "rb") as lines:
         found = {int(rank): base64.b64decode(piece) for piece, rank in (line.split() for line in lines if line.strip())}
     if sorted(found) != list(range(len(found))):
@@ -30,84 +31,53 @@ def read_ranks(path: str) -> list[bytes]:
     return [found[k] for k in range(len(found))]
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def merges(pieces: list[bytes]) -> dict[int, tuple[int, int]]:
+    """The two parts of each piece of several bytes: what merges of lower rank leave of its bytes.
 
-
-def _rank_table(pieces: list[bytes]) -> tuple[list[int], list[int]]:
-    """(shift of each left piece, slots): the pair (left, right) is in slot shift + right as left and merged id.
-
-    Two pieces merge where their bytes together are a piece, whose rank is its number. The rows of
-    all left pieces lie over each other in one array, moved so that no two entries share a slot.
+    A part is a piece of lower rank or a byte. Ranks of a trained vocabulary have two parts for
+    each piece; others raise.
     """
     number = {piece: k for k, piece in enumerate(pieces)}
-    rows: dict[int, list[tuple[int, int]]] = {}
+    if any(bytes([b]) not in number for b in range(256)):
+        raise ValueError("every byte must be a piece")
+    rank: dict[tuple[int, int], int] = {}
+    parts: dict[int, tuple[int, int]] = {}
     for merged, piece in enumerate(pieces):
-        for cut in range(1, len(piece)):
-            left, right = number.get(piece[:cut]), number.get(piece[cut:])
-            if left is not None and right is not None:
-                rows.setdefault(left, []).append((right, merged))
-    slots = np.full(len(pieces) + 3 * sum(map(len, rows.values())), _NO_PIECE << 20, np.int64)
-    free = np.ones(len(slots), bool)
-    shifts = [0] * len(pieces)
-    ordered = sorted(rows.items(), key=lambda item: (-len(item[1]), item[0]))
-    for left, row in ordered:
-        rights = np.array([right for right, _ in row])
-        lowest, most = -int(rights.min()), len(slots) - int(rights.max())
-        if len(row) == 1:
-            break
-        at = lowest + left * 40503 % (most - lowest)
-        while not (fits := free[(tries := np.arange(at, min(at + 256, most)))[:, None] + rights].all(1)).any():
-            at = at + 256 if at + 256 < most else lowest
-        shifts[left] = int(tries[fits.argmax()])
-        slots[shifts[left] + rights] = [left << 20 | merged for _, merged in row]
-        free[shifts[left] + rights] = False
-    for slot, (left, [(right, merged)]) in zip(np.flatnonzero(free).tolist(), (item for item in ordered if len(item[1]) == 1)):
-        shifts[left] = slot - right
-        slots[slot], free[slot] = left << 20 | merged, False
-    last = int(np.flatnonzero(~free).max()) if rows else 0
-    return shifts, slots[: last + 1].tolist()
-
-
-def rank_literal(pieces: list[bytes]) -> Column:
-    """The rank map as one constant: struct of ``shifts`` and ``slots``."""
-    shifts, slots = _rank_table(pieces)
-    return F.from_json(F.lit(json.dumps({"shifts": shifts, "slots": slots}, separators=(",", ":"))), "shifts array<int>, slots array<bigint>")
+        if len(piece) < 2:
+            continue
+        symbols = [number[piece[k : k + 1]] for k in range(len(piece))]
+        while len(symbols) > 2:
+            least, at = min((rank.get(pair, len(pieces)), k) for k, pair in enumerate(zip(symbols, symbols[1:])))
+            if least == len(pieces):
+                raise ValueError(f"piece {merged} is not made of two pieces of lower rank")
+            symbols[at : at + 2] = [least]
+        parts[merged] = rank_of = (symbols[0], symbols[1])
+        rank[rank_of] = merged
+    return parts
 
 
-def folded_ids(symbols: Column, shifts: Column, slots: Column) -> Column:
-    """Merge ``symbols`` (array of ids) by rank: at each step the leftmost pair of the least rank.
+def _codes(pieces: list[bytes]) -> list[int]:
+    """The character that stands for each piece: a byte for itself, the others from 256 on, surrogates left out."""
+    codes = [piece[0] if len(piece) == 1 else 256 + rank for rank, piece in enumerate(pieces)]
+    return [code if code < 0xD800 else code + 0x800 for code in codes]
 
-    The fold carries one number per symbol: the rank of its pair with the next symbol, its place and
-    its id, 20 bits each below the rank, between two stops. The least number is the next merge, and
-    only the two pairs that it touches are looked up anew.
-    """
-    none, low = 1 << 20, F.lit((1 << 20) - 1)
-
-    def rank(left: Column, right: Column) -> Column:
-        # a slot of another left piece differs above bit 20, a stop has no slot
-        slot = F.get(slots, F.get(shifts, left) + right)
-        return F.shiftleft(F.least(slot.bitwiseXOR(F.shiftleft(left.cast("long"), 20)), F.lit(none)), 40)
 
-    def number(entry: Column) -> Column:
-        return entry.bitwiseAND(low).cast("int")
+def rank_literal(pieces: list[bytes]) -> Column:
+    """The rank map as one constant: by rank, the two characters that merge and the one they become."""
+    char, parts = [chr(code) for code in _codes(pieces)], merges(pieces)
+    pairs = [char[parts[k][0]] + char[parts[k][1]] if k in parts else None for k in range(len(pieces))]
+    return F.from_json(F.lit(json.dumps({"pairs": pairs, "merged": char}, separators=(",", ":"))), "pairs array<string>, merged array<string>")
 
-    def step(state: Column, at: Column) -> Column:
-        before, this, after = F.get(state, at - 2), F.get(state, at - 1), F.get(state, at + 1)
-        merged = F.shiftright(this, 40)
-        left = rank(number(before), merged.cast("int")).bitwiseOR(before.bitwiseAND(F.lit((1 << 40) - 1)))
-        here = rank(merged.cast("int"), number(after)).bitwiseOR(this.bitwiseAND(F.lit(((1 << 20) - 1) << 20))).bitwiseOR(merged)
-        return F.concat(F.slice(state, F.lit(1), at - 2), F.array(left, here), F.slice(state, at + 2, F.lit(1 << 20)))
 
-    def turn(state: Column) -> Column:
-        return _let(F.array_min(state), lambda best: F.when(best >= none << 40, state).otherwise(
-            _let(F.array_position(state, best).cast("int"), lambda at: step(state, at))))
+def folded_symbols(word: Column, ranks: Column, known: Column) -> Column:
+    """Fold the merges ``ranks``, ascending, over the bytes of ``word``: a string with a character for each piece left.
 
-    stop = F.array(F.lit(none << 40 | (1 << 20) - 1))
-    inner = F.transform(symbols, lambda s, i: rank(s, F.coalesce(F.get(symbols, i + 1), F.lit((1 << 20) - 1))).bitwiseOR(F.shiftleft(i.cast("long"), 20)).bitwiseOR(s.cast("long")))
-    whole = F.aggregate(F.sequence(F.lit(2), F.size(symbols)), F.concat(stop, inner, stop), lambda state, _: turn(state), lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), number))
-    return F.when(F.size(symbols) < 2, symbols).otherwise(whole)
+    ``ranks`` names every piece whose bytes occur in the word, or more. Taken in this order, a merge
+    finds its two parts side by side exactly where ranked merging joins them: all lower merges are
+    done, and a merge never gives a pair of lower rank. ``replace`` joins from the left without
+    overlap, as ranked merging does.
+    """
+    return F.aggregate(ranks, F.decode(word, "ISO-8859-1"), lambda state, rank: F.replace(state, F.get(known["pairs"], rank), F.get(known["merged"], rank)))
 
 
 class _Numbers(dict):
@@ -118,62 +88,132 @@ class _Numbers(dict):
         return number
 
 
+class _Grown:
+    """Runs of numbers, one after another, in arrays that grow."""
+
+    def __init__(self):
+        self._data, self._ends, self._n, self._runs = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0, 0
+
+    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        while self._n + len(data) > len(self._data):
+            self._data = np.r_[self._data, np.zeros_like(self._data)]
+        while self._runs + len(sizes) + 1 > len(self._ends):
+            self._ends = np.r_[self._ends, np.zeros_like(self._ends)]
+        self._data[self._n : self._n + len(data)] = data
+        self._ends[self._runs + 1 : self._runs + len(sizes) + 1] = self._n + np.cumsum(sizes, dtype=np.int64)
+        self._n, self._runs = self._n + len(data), self._runs + len(sizes)
+
+    def runs(self, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _gathered(self._data, self._ends[: self._runs + 1], picks)
+
+
+def _gathered(data: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``picks`` of ``data`` one after another, and where each begins and the last ends."""
+    starts = offsets[picks]
+    sizes = offsets[picks + 1] - starts
+    ends = np.r_[0, np.cumsum(sizes)]
+    return data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
+
+
+class _Occurring:
+    """Finds the pieces of several bytes that occur in words, in all words at once.
+
+    Each prefix of a piece has a slot by its rolling hash. Other bytes may fall in the same slot, so
+    a word may get a piece too many, which the fold passes over, but never one too few.
+    """
+
+    _BITS, _BASE, _MIX = 21, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+    def __init__(self, pieces: list[bytes]):
+        sizes = np.array([len(piece) for piece in pieces])
+        self._most = int(sizes.max())
+        letters = np.frombuffer(b"".join(piece.ljust(self._most, b"\0") for piece in pieces), np.uint8).reshape(len(pieces), -1)
+        self._begun = np.zeros(1 << self._BITS, bool)
+        self._ranks: list[np.ndarray] = []  # pieces that share a slot lie in several tables
+        rolled = letters[:, 0].astype(np.uint64) + np.uint64(1)
+        for size in range(2, self._most + 1):
+            left = np.flatnonzero(sizes >= size)
+            rolled[left] = rolled[left] * self._BASE + letters[left, size - 1] + np.uint64(1)
+            slots = self._slot(rolled[left])
+            self._begun[slots] = True
+            slots, left = slots[sizes[left] == size], left[sizes[left] == size]
+            for table in range(len(pieces)):
+                if not len(left):
+                    break
+                if table == len(self._ranks):
+                    self._ranks.append(np.full(1 << self._BITS, -1, np.int32))
+                free = np.flatnonzero(self._ranks[table][slots] < 0)
+                free = free[np.unique(slots[free], return_index=True)[1]]
+                self._ranks[table][slots[free]] = left[free]
+                slots, left = np.delete(slots, free), np.delete(left, free)
+
+    def _slot(self, rolled: np.ndarray) -> np.ndarray:
+        return ((rolled ^ rolled >> np.uint64(32)) * self._MIX >> np.uint64(64 - self._BITS)).astype(np.int64)
+
+    def in_words(self, words: list[bytes]) -> pa.ListArray:
+        """The ranks of each word, ascending."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.array([len(word) for word in words])
+        word_of = np.repeat(np.arange(len(words)), sizes)
+        room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+        at, rolled, found = np.arange(len(data)), data.astype(np.uint64) + np.uint64(1), []
+        for size in range(2, self._most + 1):
+            fits = room[at] >= size
+            at = at[fits]
+            rolled = rolled[fits] * self._BASE + data[at + size - 1] + np.uint64(1)
+            slots = self._slot(rolled)
+            begun = self._begun[slots]
+            at, rolled, slots = at[begun], rolled[begun], slots[begun]
+            if not len(at):
+                break
+            for ranks in self._ranks:
+                rank = ranks[slots]
+                hit = rank >= 0
+                found.append(word_of[at[hit]] << 32 | rank[hit])
+        pairs = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]]
+        ends = np.searchsorted(pairs, np.arange(len(words) + 1) << 32)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)))
+
+
 def _packed(values) -> bytes:
     return np.asarray(values, "<i4").tobytes()
 
 
-def _word_symbols(words: list[str], ranks: dict[bytes, int], long_ids) -> pa.Array:
-    """The ids that the fold starts from: a word that is a piece has that piece's id, others their bytes' ids.
+_CUT = pa.schema([("word", pa.binary()), ("ranks", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
+
+
+def _cut_in_words(docs: DataFrame, ranks_path: str, pattern: str, flush_chars: int, dictionary_chars: int) -> DataFrame:
+    """Rows of three kinds, in an order that only this task's next step relies on.
 
-    ``long_ids`` merges words of more than ``FOLD_BYTES`` bytes.
+    A word row holds a word (pattern match) that the task has not met before, and the ranks of the
+    pieces that occur in it. A text row follows the rows of its words: ids of documents, for each the
+    count of its pieces of text, their numbers, and for each new piece of text the count and the
+    numbers of its words. A row of nulls says that the numbers start again.
     """
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    encoded = [w.encode() for w in words]
-    whole = {k: [ranks[w]] if w in ranks else long_ids(w) for k, w in enumerate(encoded) if w in ranks or len(w) > FOLD_BYTES}
-    folded = [w for k, w in enumerate(encoded) if k not in whole]
-    data = byte_ids[np.frombuffer(b"".join(folded), np.uint8)]
-    ends = np.r_[0, np.cumsum([len(w) for w in folded], dtype=np.int64)].astype(np.int32)
-    plain = pa.ListArray.from_arrays(pa.array(ends), pa.array(data))
-    place = np.empty(len(words), np.int64)
-    rest = np.ones(len(words), bool)
-    rest[list(whole)] = False
-    place[rest] = np.arange(len(folded))
-    place[~rest] = np.arange(len(folded), len(words))
-    return pa.concat_arrays([plain, pa.array(list(whole.values()), pa.list_(pa.int32()))]).take(pa.array(place))
-
-
-def _cut_in_words(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int) -> DataFrame:
-    """Chunks of documents: their distinct words as ``symbols``, and the texts as numbers of pieces of words."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
-        import tiktoken
 
-        ranks = {p: k for k, p in enumerate(read_ranks(ranks_path))}
-        match = regex.compile(pattern).findall
-        library: list[tiktoken.Encoding] = []
+        occurring, match = _Occurring(read_ranks(ranks_path)), regex.compile(pattern).findall
 
-        def long_ids(word: bytes) -> list[int]:
-            if not library:
-                library.append(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
-            return library[0]._encode_single_piece(word)
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _CUT], schema=_CUT)
 
+        pieces, words = _Numbers(), _Numbers()
         ids: list[int | None] = []
         counts: list[int] = []
         numbers: list[bytes] = []
-        pieces, size = _Numbers(), 0
-
-        def chunk() -> pa.RecordBatch:
-            words = _Numbers()
-            lengths, of_pieces = [], []
-            for piece in pieces:
-                found = match(piece)
-                lengths.append(len(found))
-                of_pieces.extend(map(words.__getitem__, found))
-            symbols = _word_symbols(list(words), ranks, long_ids)
-            columns = [pa.array([ids], pa.list_(pa.int64()))]
-            columns += [pa.array([v], pa.binary()) for v in (_packed(counts), b"".join(numbers), _packed(lengths), _packed(of_pieces))]
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(symbols)], pa.int32()), symbols))
-            return pa.RecordBatch.from_arrays(columns, names=["ids", "counts", "numbers", "lengths", "words", "symbols"])
+        size = held = met = 0
+
+        def flush(fresh: list[str]) -> Iterator[pa.RecordBatch]:
+            known = len(words)
+            found = list(map(match, fresh))
+            lengths, of_pieces = list(map(len, found)), list(map(words.__getitem__, chain.from_iterable(found)))
+            new = [word.encode() for word in islice(words, known, None)]
+            for at in range(0, len(new), 10_000):
+                part = new[at : at + 10_000]
+                yield rows(len(part), word=pa.array(part, pa.binary()), ranks=occurring.in_words(part))
+            yield rows(1, ids=pa.array([ids], pa.list_(pa.int64())), **{name: pa.array([value], pa.binary()) for name, value in (("counts", _packed(counts)), ("numbers", b"".join(numbers)), ("lengths", _packed(lengths)), ("words", _packed(of_pieces)))})
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -183,51 +223,69 @@ def _cut_in_words(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: i
                 counts.append(len(parts))
                 numbers.append(_packed(list(map(pieces.__getitem__, parts))))
                 size += len(text)
-                if size >= chunk_chars:
-                    yield chunk()
-                    ids, counts, numbers, pieces, size = [], [], [], _Numbers(), 0
+                if size >= flush_chars:
+                    fresh = list(islice(pieces, met, None))
+                    yield from flush(fresh)
+                    ids, counts, numbers, size, met = [], [], [], 0, len(pieces)
+                    held += sum(map(len, fresh))
+                    if held >= dictionary_chars:
+                        yield rows(1)
+                        pieces, words, held, met = _Numbers(), _Numbers(), 0, 0
         if ids:
-            yield chunk()
+            yield from flush(list(islice(pieces, met, None)))
 
-    return docs.mapInArrow(cut, "ids array<long>, counts binary, numbers binary, lengths binary, words binary, symbols array<array<int>>")
+    return docs.mapInArrow(cut, "word binary, ranks array<int>, ids array<long>, counts binary, numbers binary, lengths binary, words binary")
 
 
-def _gathered(data: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slices ``picks`` of ``data`` one after another, and where each ends up."""
-    starts = offsets[picks]
-    sizes = offsets[picks + 1] - starts
-    ends = np.r_[0, np.cumsum(sizes)]
-    return data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
-
-
-def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", flush_chars: int = FLUSH_CHARS, dictionary_chars: int = DICTIONARY_CHARS) -> DataFrame:
     """One row per row of ``docs``: id and ``token_ids`` (array of int).
 
-    Nothing is shuffled. Each task cuts its documents into chunks of about ``chunk_chars``; a chunk is
-    one row with its distinct words (pattern matches) and its texts as numbers of these. Spark folds
-    the ranked merges over the byte arrays of a chunk's words; words of more than ``FOLD_BYTES``
-    bytes go through the tokenizer library. The texts then become lookups. A document longer than a
-    chunk makes a chunk of its own. Special strings are ordinary text. Null and empty texts have no
-    ids; null ids and repeated rows are kept; other columns are ignored.
+    Nothing is shuffled. Each task cuts its texts into words (pattern matches) and hands each distinct
+    word on as a row of its bytes; Spark folds the ranked merges over them with the rank map as a
+    constant; the texts, held as numbers of words, then become lookups in the same task. Words are
+    distinct within a task, or within ``dictionary_chars`` of distinct text. Words of any length
+    are folded. Special strings are ordinary text. Null and empty texts have no ids; null ids and
+    repeated rows are kept; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    chunks = _cut_in_words(rows, ranks_path, pattern, chunk_chars)
-    fold = _let(rank_literal(read_ranks(ranks_path)), lambda known: F.transform("symbols", lambda word: folded_ids(word, known["shifts"], known["slots"])))
-    folded = chunks.select("ids", "counts", "numbers", "lengths", "words", fold.alias("tokens"))
+    cut = _cut_in_words(rows, ranks_path, pattern, flush_chars, dictionary_chars)
+    vocabulary = read_ranks(ranks_path)
+    fold = F.get(F.transform(F.array(rank_literal(vocabulary)), lambda known: folded_symbols(F.col("word"), F.col("ranks"), known)), F.lit(0))
+    folded = cut.select(fold.alias("symbols"), "ids", "counts", "numbers", "lengths", "words")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = np.array(_codes(read_ranks(ranks_path)))
+        rank_of_code = np.full(codes.max() + 1, -1, np.int32)
+        rank_of_code[codes] = np.arange(len(codes))
+        of_words, of_pieces = _Grown(), _Grown()
+
+        def learn(symbols: pa.Array) -> None:
+            sizes = pa.compute.utf8_length(symbols).to_numpy()
+            joined = "".join(symbols.to_pylist())
+            of_words.add(rank_of_code[np.frombuffer(joined.encode("utf-32-le"), "<u4")], sizes)
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, tokens = batch.column(0)[row].values, batch.column(5)[row].values
-                counts, numbers, lengths, words = (np.frombuffer(batch.column(k)[row].as_buffer(), "<i4") for k in (1, 2, 3, 4))
-                word_ends = tokens.offsets.to_numpy().astype(np.int64)
-                data, ends = _gathered(tokens.values.to_numpy(), word_ends, words)
-                data, ends = _gathered(data, ends[np.r_[0, np.cumsum(lengths)]], numbers)
-                ends = ends[np.r_[0, np.cumsum(counts)]]
-                for at in range(0, len(ids), 1000):
-                    part = ends[at : at + 1001]
+            is_text = np.flatnonzero(batch.column(0).is_null().to_numpy(zero_copy_only=False))
+            begin = 0
+            for at in [*is_text.tolist(), batch.num_rows]:
+                if at > begin:
+                    learn(batch.column(0).slice(begin, at - begin))
+                begin = at + 1
+                if at == batch.num_rows:
+                    break
+                if not batch.column(1)[at].is_valid:
+                    of_words, of_pieces = _Grown(), _Grown()
+                    continue
+                ids = batch.column(1)[at].values
+                counts, numbers, lengths, words = (np.frombuffer(batch.column(k)[at].as_buffer(), "<i4") for k in (2, 3, 4, 5))
+                data, ends = of_words.runs(words)
+                of_pieces.add(data, np.diff(ends[np.r_[0, np.cumsum(lengths, dtype=np.int64)]]))
+                data, ends = of_pieces.runs(numbers)
+                ends = ends[np.r_[0, np.cumsum(counts, dtype=np.int64)]]
+                for first in range(0, len(ids), 1000):
+                    part = ends[first : first + 1001]
                     listed = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(data[part[0] : part[-1]]))
-                    yield pa.RecordBatch.from_arrays([ids[at : at + 1000], listed], names=["id", "token_ids"])
+                    yield pa.RecordBatch.from_arrays([ids[first : first + 1000], listed], names=["id", "token_ids"])
 
     return folded.mapInArrow(look_up, "id long, token_ids array<int>").withColumnRenamed("id", id_col)
 
@@ -235,21 +293,32 @@ def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 def decode_bpe(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", keep_ids: bool = True) -> DataFrame:
     """``encoded`` with ``decoded`` (the ids' pieces joined, binary) and ``id_bytes`` (little-endian 32-bit ids).
 
-    A null list decodes to null; an id outside the vocabulary raises. Without ``keep_ids`` the list
-    itself is left out.
+    A null list decodes to null; an id outside the vocabulary, or a null one, raises. Without
+    ``keep_ids`` the list itself is left out. Columns named as the results are replaced.
     """
     held = [c for c in encoded.columns if c not in ("decoded", "id_bytes", ids_col)]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece_of = read_ranks(ranks_path).__getitem__
+        vocabulary = read_ranks(ranks_path)
+        letters = np.frombuffer(b"".join(vocabulary), np.uint8)
+        places = np.r_[0, np.cumsum([len(piece) for piece in vocabulary], dtype=np.int64)]
+
+        def decoded(ids: np.ndarray) -> bytes:
+            if len(ids) and not 0 <= ids.min() <= ids.max() < len(vocabulary):
+                raise ValueError("an id is not in the vocabulary")
+            # in parts, so that the places of the letters stay small
+            return b"".join(_gathered(letters, places, ids[at : at + (1 << 18)])[0].tobytes() for at in range(0, len(ids), 1 << 18))
+
         for batch in batches:
-            decoded, packed = [], []
+            texts, packed = [], []
             for value in batch.column(len(held)):
+                if value.values is not None and value.values.null_count:
+                    raise ValueError("an id is null")
                 ids = None if value.values is None else value.values.to_numpy(zero_copy_only=False)
-                decoded.append(None if ids is None else b"".join(map(piece_of, ids.tolist())))
+                texts.append(None if ids is None else decoded(ids))
                 packed.append(None if ids is None else ids.astype("<u4").tobytes())
             columns = batch.columns if keep_ids else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.binary()), pa.array(packed, pa.binary())], names=[*batch.schema.names[: len(columns)], "_decoded", "_packed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()), pa.array(packed, pa.binary())], names=[*batch.schema.names[: len(columns)], "_decoded", "_packed"])
 
     slim = encoded.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(held)], F.col(f"`{ids_col}`").alias("_ids"))
     fields = slim.schema.fields if keep_ids else slim.schema.fields[:-1]

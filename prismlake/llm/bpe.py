@@ -6,19 +6,20 @@ import base64
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import safe_pieces
+from .pieces import Numbers, Runs, gathered, safe_pieces
 
 #: Characters of text that leave a task as one row; a longer document makes a row of its own.
-FLUSH_CHARS = 2 << 20
+FLUSH_CHARS = 512 << 10
 #: A task forgets its words after so many characters of distinct pieces, which bounds its memory.
-DICTIONARY_CHARS = 16 << 20
+DICTIONARY_CHARS = 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -80,41 +81,6 @@ def folded_symbols(word: Column, ranks: Column, known: Column) -> Column:
     return F.aggregate(ranks, F.decode(word, "ISO-8859-1"), lambda state, rank: F.replace(state, F.get(known["pairs"], rank), F.get(known["merged"], rank)))
 
 
-class _Numbers(dict):
-    """Numbers its keys in the order of their first use."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
-
-
-class _Grown:
-    """Runs of numbers, one after another, in arrays that grow."""
-
-    def __init__(self):
-        self._data, self._ends, self._n, self._runs = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0, 0
-
-    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
-        while self._n + len(data) > len(self._data):
-            self._data = np.r_[self._data, np.zeros_like(self._data)]
-        while self._runs + len(sizes) + 1 > len(self._ends):
-            self._ends = np.r_[self._ends, np.zeros_like(self._ends)]
-        self._data[self._n : self._n + len(data)] = data
-        self._ends[self._runs + 1 : self._runs + len(sizes) + 1] = self._n + np.cumsum(sizes, dtype=np.int64)
-        self._n, self._runs = self._n + len(data), self._runs + len(sizes)
-
-    def runs(self, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _gathered(self._data, self._ends[: self._runs + 1], picks)
-
-
-def _gathered(data: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``picks`` of ``data`` one after another, and where each begins and the last ends."""
-    starts = offsets[picks]
-    sizes = offsets[picks + 1] - starts
-    ends = np.r_[0, np.cumsum(sizes)]
-    return data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
-
-
 class _Occurring:
     """Finds the pieces of several bytes that occur in words, in all words at once.
 
@@ -199,17 +165,16 @@ def _cut_in_words(docs: DataFrame, ranks_path: str, pattern: str, flush_chars: i
         def rows(n: int, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _CUT], schema=_CUT)
 
-        pieces, words = _Numbers(), _Numbers()
+        pieces, words = Numbers(), Numbers()
         ids: list[int | None] = []
         counts: list[int] = []
         numbers: list[bytes] = []
-        size = held = met = 0
+        size = held = 0
 
         def flush(fresh: list[str]) -> Iterator[pa.RecordBatch]:
-            known = len(words)
             found = list(map(match, fresh))
             lengths, of_pieces = list(map(len, found)), list(map(words.__getitem__, chain.from_iterable(found)))
-            new = [word.encode() for word in islice(words, known, None)]
+            new = [word.encode() for word in words.taken()]
             for at in range(0, len(new), 10_000):
                 part = new[at : at + 10_000]
                 yield rows(len(part), word=pa.array(part, pa.binary()), ranks=occurring.in_words(part))
@@ -224,19 +189,87 @@ def _cut_in_words(docs: DataFrame, ranks_path: str, pattern: str, flush_chars: i
                 numbers.append(_packed(list(map(pieces.__getitem__, parts))))
                 size += len(text)
                 if size >= flush_chars:
-                    fresh = list(islice(pieces, met, None))
-                    yield from flush(fresh)
-                    ids, counts, numbers, size, met = [], [], [], 0, len(pieces)
-                    held += sum(map(len, fresh))
+                    held += sum(map(len, pieces.fresh))
+                    yield from flush(pieces.taken())
+                    ids, counts, numbers, size = [], [], [], 0
                     if held >= dictionary_chars:
                         yield rows(1)
-                        pieces, words, held, met = _Numbers(), _Numbers(), 0, 0
+                        pieces, words, held = Numbers(), Numbers(), 0
         if ids:
-            yield from flush(list(islice(pieces, met, None)))
+            yield from flush(pieces.taken())
+        pieces = words = None
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside others
 
     return docs.mapInArrow(cut, "word binary, ranks array<int>, ids array<long>, counts binary, numbers binary, lengths binary, words binary")
 
 
+def _folded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, flush_chars: int, dictionary_chars: int) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("body"))
+    cut = _cut_in_words(rows, ranks_path, pattern, flush_chars, dictionary_chars)
+    fold = F.get(F.transform(F.array(rank_literal(read_ranks(ranks_path))), lambda known: folded_symbols(F.col("word"), F.col("ranks"), known)), F.lit(0))
+    return cut.select(fold.alias("symbols"), "ids", "counts", "numbers", "lengths", "words")
+
+
+def _look_up(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
+    """Ids and token ids of documents, from the rows of ``_cut_in_words`` with their words folded."""
+    codes = np.array(_codes(read_ranks(ranks_path)))
+    rank_of_code = np.full(codes.max() + 1, -1, np.int32)
+    rank_of_code[codes] = np.arange(len(codes))
+    of_words, of_pieces = Runs(), Runs()
+
+    def learn(symbols: pa.Array) -> None:
+        sizes = pc.utf8_length(symbols).to_numpy()
+        joined = "".join(symbols.to_pylist())
+        of_words.add(rank_of_code[np.frombuffer(joined.encode("utf-32-le"), "<u4")], sizes)
+
+    for batch in batches:
+        is_text = np.flatnonzero(batch.column(0).is_null().to_numpy(zero_copy_only=False))
+        begin = 0
+        for at in [*is_text.tolist(), batch.num_rows]:
+            if at > begin:
+                learn(batch.column(0).slice(begin, at - begin))
+            begin = at + 1
+            if at == batch.num_rows:
+                break
+            if not batch.column(1)[at].is_valid:
+                of_words, of_pieces = Runs(), Runs()
+                continue
+            ids = batch.column(1)[at].values
+            counts, numbers, lengths, words = (np.frombuffer(batch.column(k)[at].as_buffer(), "<i4") for k in (2, 3, 4, 5))
+            data, ends = of_words.take(words)
+            of_pieces.add(data, np.diff(ends[np.r_[0, np.cumsum(lengths, dtype=np.int64)]]))
+            data, ends = of_pieces.take(numbers)
+            ends = ends[np.r_[0, np.cumsum(counts, dtype=np.int64)]]
+            for first in range(0, len(ids), 1000):
+                part = ends[first : first + 1001]
+                listed = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(data[part[0] : part[-1]]))
+                yield pa.RecordBatch.from_arrays([ids[first : first + 1000], listed], names=["id", "token_ids"])
+
+
+def _decode(batches: Iterator[pa.RecordBatch], ranks_path: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The batches with the last column, lists of ids, followed or replaced by the bytes of the text and of the ids."""
+    vocabulary = read_ranks(ranks_path)
+    letters = np.frombuffer(b"".join(vocabulary), np.uint8)
+    places = np.r_[0, np.cumsum([len(piece) for piece in vocabulary], dtype=np.int64)]
+
+    def decoded(ids: np.ndarray) -> bytes:
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(vocabulary):
+            raise ValueError("an id is not in the vocabulary")
+        # in parts, so that the places of the letters stay small
+        return b"".join(gathered(letters, places, ids[at : at + (1 << 18)])[0].tobytes() for at in range(0, len(ids), 1 << 18))
+
+    for batch in batches:
+        texts, packed = [], []
+        for value in batch.column(batch.num_columns - 1):
+            if value.values is not None and value.values.null_count:
+                raise ValueError("an id is null")
+            ids = None if value.values is None else value.values.to_numpy(zero_copy_only=False)
+            texts.append(None if ids is None else decoded(ids))
+            packed.append(None if ids is None else ids.astype("<u4").tobytes())
+        columns = batch.columns if keep_ids else batch.columns[:-1]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()), pa.array(packed, pa.binary())], names=[*batch.schema.names[: len(columns)], "_decoded", "_packed"])
+
+
 def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", flush_chars: int = FLUSH_CHARS, dictionary_chars: int = DICTIONARY_CHARS) -> DataFrame:
     """One row per row of ``docs``: id and ``token_ids`` (array of int).
 
@@ -247,47 +280,8 @@ def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     are folded. Special strings are ordinary text. Null and empty texts have no ids; null ids and
     repeated rows are kept; other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    cut = _cut_in_words(rows, ranks_path, pattern, flush_chars, dictionary_chars)
-    vocabulary = read_ranks(ranks_path)
-    fold = F.get(F.transform(F.array(rank_literal(vocabulary)), lambda known: folded_symbols(F.col("word"), F.col("ranks"), known)), F.lit(0))
-    folded = cut.select(fold.alias("symbols"), "ids", "counts", "numbers", "lengths", "words")
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.array(_codes(read_ranks(ranks_path)))
-        rank_of_code = np.full(codes.max() + 1, -1, np.int32)
-        rank_of_code[codes] = np.arange(len(codes))
-        of_words, of_pieces = _Grown(), _Grown()
-
-        def learn(symbols: pa.Array) -> None:
-            sizes = pa.compute.utf8_length(symbols).to_numpy()
-            joined = "".join(symbols.to_pylist())
-            of_words.add(rank_of_code[np.frombuffer(joined.encode("utf-32-le"), "<u4")], sizes)
-
-        for batch in batches:
-            is_text = np.flatnonzero(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-            begin = 0
-            for at in [*is_text.tolist(), batch.num_rows]:
-                if at > begin:
-                    learn(batch.column(0).slice(begin, at - begin))
-                begin = at + 1
-                if at == batch.num_rows:
-                    break
-                if not batch.column(1)[at].is_valid:
-                    of_words, of_pieces = _Grown(), _Grown()
-                    continue
-                ids = batch.column(1)[at].values
-                counts, numbers, lengths, words = (np.frombuffer(batch.column(k)[at].as_buffer(), "<i4") for k in (2, 3, 4, 5))
-                data, ends = of_words.runs(words)
-                of_pieces.add(data, np.diff(ends[np.r_[0, np.cumsum(lengths, dtype=np.int64)]]))
-                data, ends = of_pieces.runs(numbers)
-                ends = ends[np.r_[0, np.cumsum(counts, dtype=np.int64)]]
-                for first in range(0, len(ids), 1000):
-                    part = ends[first : first + 1001]
-                    listed = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(data[part[0] : part[-1]]))
-                    yield pa.RecordBatch.from_arrays([ids[first : first + 1000], listed], names=["id", "token_ids"])
-
-    return folded.mapInArrow(look_up, "id long, token_ids array<int>").withColumnRenamed("id", id_col)
+    folded = _folded(docs, ranks_path, pattern, id_col, text_col, flush_chars, dictionary_chars)
+    return folded.mapInArrow(lambda batches: _look_up(batches, ranks_path), "id long, token_ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_bpe(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", keep_ids: bool = True) -> DataFrame:
@@ -297,39 +291,19 @@ def decode_bpe(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids",
     ``keep_ids`` the list itself is left out. Columns named as the results are replaced.
     """
     held = [c for c in encoded.columns if c not in ("decoded", "id_bytes", ids_col)]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = read_ranks(ranks_path)
-        letters = np.frombuffer(b"".join(vocabulary), np.uint8)
-        places = np.r_[0, np.cumsum([len(piece) for piece in vocabulary], dtype=np.int64)]
-
-        def decoded(ids: np.ndarray) -> bytes:
-            if len(ids) and not 0 <= ids.min() <= ids.max() < len(vocabulary):
-                raise ValueError("an id is not in the vocabulary")
-            # in parts, so that the places of the letters stay small
-            return b"".join(_gathered(letters, places, ids[at : at + (1 << 18)])[0].tobytes() for at in range(0, len(ids), 1 << 18))
-
-        for batch in batches:
-            texts, packed = [], []
-            for value in batch.column(len(held)):
-                if value.values is not None and value.values.null_count:
-                    raise ValueError("an id is null")
-                ids = None if value.values is None else value.values.to_numpy(zero_copy_only=False)
-                texts.append(None if ids is None else decoded(ids))
-                packed.append(None if ids is None else ids.astype("<u4").tobytes())
-            columns = batch.columns if keep_ids else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()), pa.array(packed, pa.binary())], names=[*batch.schema.names[: len(columns)], "_decoded", "_packed"])
-
     slim = encoded.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(held)], F.col(f"`{ids_col}`").alias("_ids"))
     fields = slim.schema.fields if keep_ids else slim.schema.fields[:-1]
-    out = slim.mapInArrow(decode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ("," if fields else "") + " _decoded binary, _packed binary")
+    out = slim.mapInArrow(lambda batches: _decode(batches, ranks_path, keep_ids), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ("," if fields else "") + " _decoded binary, _packed binary")
     listed = [F.col("_ids").alias(ids_col)] if keep_ids else []
     return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(held)], *listed, F.col("_decoded").alias("decoded"), F.col("_packed").alias("id_bytes"))
 
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, decode and digest: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode_bpe(docs, ranks_path, pattern)
-    decoded = decode_bpe(encoded, ranks_path, keep_ids=False)
+    """Encode, decode and digest: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Ids are decoded in the step that looks them up, which spares each task a third Python worker.
+    """
+    folded = _folded(docs, ranks_path, pattern, "doc_id", "text", FLUSH_CHARS, DICTIONARY_CHARS)
+    decoded = folded.mapInArrow(lambda batches: _decode(_look_up(batches, ranks_path), ranks_path, keep_ids=False), "doc_id long, decoded binary, id_bytes binary")
     n_tokens = (F.octet_length("id_bytes") / 4).cast("long")
     return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -131,6 +131,7 @@ class ShardReader:
             place, at = _read_varint(raw, at)
             size, at = _read_varint(raw, at)
             self._index.append((key, place, size))
+        self._last_keys = [key[:9] for key, _, _ in self._index]
         raw = self._at(filter_at, filter_n)
         self._bits = struct.unpack_from("<Q", raw)[0]
         self._filter = raw[8:]
@@ -166,7 +167,7 @@ class ShardReader:
         if not self.may_hold(doc_id):
             return []
         want, found = document_key(doc_id)[:9], []
-        for block in range(bisect.bisect_left([k[:9] for k, _, _ in self._index], want), len(self._index)):
+        for block in range(bisect.bisect_left(self._last_keys, want), len(self._index)):
             for key, value in self._entries(block):
                 if key[:9] == want:
                     found.append(np.frombuffer(value, f"<u{self.id_bytes}"))

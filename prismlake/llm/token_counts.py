@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer_path)
         for batch in batches:
-            counts: list[int] = []
-            for part in byte_batches(v.as_py() for v in batch.column(1)):
-                known = encoder.lookup(part)
-                counts.extend(sum(map(known.__getitem__, pieces)) for pieces in part)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            counts = [encoder.counts(part) for part in byte_batches(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], names=["id", "n_bytes", "n_tokens"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
     counted = slim.mapInArrow(lengths, "id long, n_bytes long, n_tokens long")

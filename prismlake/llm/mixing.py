@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_hash, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A document is taken at most so many times, a source to at most so many times its size.
 MOST_COPIES = 3
+#: Seeded offsets of a source, of which the one that brings its words nearest to the target is used.
+OFFSETS = 32
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -49,76 +47,74 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def _places(rows: DataFrame) -> DataFrame:
     """Global place of each row within its source, in order of size and id.
 
-    Rows are range-partitioned by (source, size, id), numbered within each partition as they stream
-    by, and shifted by the counts of the partitions before: one source may fill any number of tasks.
+    Rows are range-partitioned by (source, size, id), numbered within each partition as they lie
+    there, and shifted by the counts of the partitions before: one source may fill any number of tasks.
     """
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        part = context.partitionId() if context else 0
-        last, count = None, 0
-        for batch in batches:
-            source = batch.column(1)
-            n = batch.num_rows
-            codes = source.dictionary_encode()
-            index = np.asarray(codes.indices.fill_null(-1))
-            starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-            place = np.arange(n, dtype=np.int64)
-            for k, at in enumerate(starts):
-                end = starts[k + 1] if k + 1 < len(starts) else n
-                name = source[int(at)].as_py()
-                count = count if (name,) == last else 0
-                last = (name,)
-                place[at:end] += count - at
-                count += end - at
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(place)], names=[*batch.schema.names, "part", "place"])
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    ordered = rows.repartitionByRange("source", "size", "id", "row_key").sortWithinPartitions("source", "size", "id", "row_key")
-    numbered = stored(ordered.mapInArrow(number, f"{names}, part int, place long"), "mixing-places")
-    counts = numbered.groupBy("source", "part").agg(F.count("*").alias("n"))
+    order = ["source", "size", "id", "row_key"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = stored(ordered.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "mixing-places")
+    counts = numbered.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("part", F.col("source").alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
-    joined = numbered.join(shifts, (numbered["part"] == shifts["part"]) & numbered["source"].eqNullSafe(shifts["of"]), "left")
-    return joined.select(*[numbered[f.name] for f in rows.schema.fields], (F.col("place") + F.col("shift")).alias("place"))
+    shifts = counts.select(F.col("part").alias("in_part"), F.col("source").alias("of"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    joined = numbered.join(shifts, (F.col("part") == F.col("in_part")) & F.col("source").eqNullSafe(F.col("of")), "left")
+    return joined.select(*rows.columns, (F.col("place") + F.col("shift")).alias("place"))
+
+
+def _crossed(place: Column, rate: Column, offset: Column) -> Column:
+    """How many whole numbers the prefix sum of expected copies, moved by the offset, crosses at a row."""
+    return F.floor((place + 1) * rate + offset) - F.floor(place * rate + offset)
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often each document is taken so that each source comes near its target of words.
 
     Columns: id, ``size`` (words of the text, 0 for null), ``source_size``, ``target``, ``copies``,
-    ``taken`` (copies * size) and ``source``. A source's documents are ordered by size and id; each
-    is expected target / source_size times; with one random offset a source, a document is emitted
-    once per integer that its running sum crosses. Neighbours in this order are alike in size, so the
-    words taken stay close to the target. Every number depends on the rows and the seed alone. Null
-    sources form one source, placed last; a source without words takes nothing; repeated rows
-    count each; an empty table gives no rows.
+    ``taken`` (copies * size), ``source`` and ``row_key`` (hash of the text). A source's documents are
+    ordered by size and id; each is expected target / source_size times, so the prefix sum is place
+    times that rate; with one random offset a source, a document is emitted once per integer that
+    its running sum crosses. Neighbours in this order are alike in size, so the words taken stay
+    close to the target but for the last, largest documents; of ``OFFSETS`` seeded offsets the one
+    that comes nearest is used. Every number depends on the rows and the seed alone. Null sources
+    form one source, placed last; a source without words takes nothing; ties in size go by id, then
+    text; repeated rows count each; texts of any length count whole; other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(text_col)).alias("row_key"),
+    sized = docs.select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("row_key"),
     )
-    placed = _places(rows)
+    placed = _places(stored(sized, "mixing-sizes"))
     targets = source_targets(placed.select("source", "size"), weights, most).withColumnRenamed("source", "of")
-    joined = placed.join(targets, placed["source"].eqNullSafe(targets["of"]), "left")
-    offset = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull(), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = F.floor((F.col("place") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("place") * F.col("rate") + F.col("offset"))
-    taken = joined.withColumns({"rate": rate, "offset": offset}).withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
+    rated = stored(placed.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rate", rate).drop("of"), "mixing-rates")
+
+    def offset(k: int) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+
+    off = [F.abs(F.sum(_crossed(F.col("place"), F.col("rate"), offset(k)) * F.col("size")) - F.first("target")) for k in range(OFFSETS)]
+    nearest = rated.groupBy(F.col("source").alias("of")).agg(F.array(*off).alias("off")).select("of", F.array_position("off", F.array_min("off")).alias("nth"))
+    joined = rated.join(nearest, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("offset", F.get(F.array(*map(offset, range(OFFSETS))), (F.col("nth") - 1).cast("int")))
+    taken = joined.withColumn("copies", F.least(_crossed(F.col("place"), F.col("rate"), F.col("offset")), F.lit(most)).cast("long"))
     return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "row_key")
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` takes it, in the columns of ``docs``."""
-    times = mixed.groupBy(F.col(id_col).alias("_id"), F.col("row_key").alias("_key"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_key")) & docs["source"].cast("string").eqNullSafe(F.col("_source"))
-    # equal rows share what they are taken together: the first of them takes what does not divide
-    kept = docs.join(times, same, "inner")
-    once = kept.filter("_rows = 1").select(*[docs[c] for c in docs.columns], F.col("_copies"))
-    many = kept.filter("_rows > 1")
-    apart = many.groupBy(*[docs[c] for c in docs.columns], "_copies").agg(F.count("*").alias("_n")).drop("_n")
-    total = once.unionByName(apart.select(*docs.columns, "_copies"))
-    return total.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as ``mixed`` takes it, in the columns of ``docs``, whatever their names.
+
+    Rows alike in id, text and source share what they are taken together evenly, in the order of a
+    hash of the whole row. Only such rows, repeats of one document, are ordered within their group.
+    """
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    held = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names)
+    rows = rows.withColumns({"row_key": F.xxhash64(held[text_col]), "draw": row_hash(rows)})
+    times = mixed.groupBy(F.col(id_col).alias("id"), F.col("row_key").alias("key"), "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike")).filter("copies > 0")
+    same = F.col(held[id_col]).eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")) & F.col(held[source_col]).cast("string").eqNullSafe(F.col("source"))
+    kept = rows.join(times, same)
+    nth = F.row_number().over(Window.partitionBy("id", "key", "source").orderBy("draw"))
+    shared = (F.floor(F.col("copies") * nth / F.col("alike")) - F.floor(F.col("copies") * (nth - 1) / F.col("alike"))).cast("long")
+    apart = kept.filter("alike > 1").withColumn("copies", shared).select(*names, "copies")
+    total = kept.filter("alike = 1").select(*names, "copies").unionByName(apart)
+    return total.select(*names, F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select(*names).toDF(*docs.columns)

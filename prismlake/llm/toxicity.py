@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ SIZES = (3, 4, 5)
 BITS = 20
 #: At most about this many labelled rows are learned from, drawn by a hash of the id.
 SAMPLE_ROWS = 8000
-#: Features kept: those whose share differs between the labels by so many standard errors.
-LEAST_Z, MOST_FEATURES = 4.5, 1024
+#: Features kept: those whose share of texts differs between the labels by so many standard errors.
+LEAST_Z = 3.0
 RIDGE = 0.1
 
 
@@ -33,19 +34,41 @@ def _features(text: str) -> np.ndarray:
     return np.unique(gram_slots(text.lower(), SIZES, BITS))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton steps; the bias is not penalised."""
-    x = np.c_[x, np.ones(len(x))]
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+def _logistic(ends: np.ndarray, places: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """Ridge weights and a free bias by Newton steps, each solved by conjugate gradients.
+
+    Row k of the sparse matrix holds ``scale`` at ``places[ends[k] : ends[k + 1]]``.
+    """
+    row, value, m = np.repeat(np.arange(len(y)), np.diff(ends)), scale[places], len(scale)
+    penalty = np.r_[np.full(m, ridge), 1e-6]
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, value * w[places], len(y)) + w[m]
+
+    def back(g: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(places, value * g[row], m), g.sum()]
+
+    w = np.zeros(m + 1)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (p - y) + penalty * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(times(w), -35, 35)))
+        curve = np.maximum(p * (1 - p), 1e-9)
+        gradient = back(p - y) + penalty * w
+        diagonal = np.r_[np.bincount(places, value**2 * curve[row], m), curve.sum()] + penalty
+        step, left = np.zeros(m + 1), -gradient
+        along = left / diagonal
+        size = left @ along
+        for _ in range(60):
+            turned = back(curve * times(along)) + penalty * along
+            length = size / max(along @ turned, 1e-300)
+            step, left = step + length * along, left - length * turned
+            before, size = size, left @ (left / diagonal)
+            if size < 1e-12 * max(1.0, gradient @ (gradient / diagonal)):
+                break
+            along = left / diagonal + size / before * along
+        w += step
+        if np.abs(step).max() < 1e-5:
             break
-    return w[:-1], float(w[-1])
+    return w[:m], float(w[m])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -53,8 +76,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
     The sample is drawn from distinct (id, label) pairs by a hash of the id, about ``sample_rows`` of
     them, so it is small enough to broadcast and only its texts are read further. Features are the
-    distinct hashed n-grams of a text. Those spread alike over both labels are left out, the others
-    are scaled by their naive Bayes log-count ratio, and a ridge logistic regression weighs them.
+    distinct hashed n-grams of a text. Those whose share of texts differs between the labels by less
+    than ``LEAST_Z`` standard errors, or that fewer than 3 texts hold, are left out; all others, at
+    most 2**BITS, are scaled by their naive Bayes log-count ratio, and a ridge logistic regression weighs them.
     Null ids, texts and labels are not learned from. With no rows, or one label only, the score is
     the share of label 1 for every text.
     """
@@ -90,7 +114,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     pooled = (F.col("with_1") + F.col("with_0")) / float(n1 + n0)
     error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
     z = F.abs(F.col("with_1") / n1 - F.col("with_0") / n0) / error
-    chosen = held.withColumn("z", z).filter((F.col("with_1") + F.col("with_0") >= 3) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "slot").limit(MOST_FEATURES).toPandas().sort_values("slot")
+    chosen = held.withColumn("z", z).filter((F.col("with_1") + F.col("with_0") >= 3) & (F.col("z") >= LEAST_Z)).toPandas().sort_values("slot")
     place[chosen["slot"].to_numpy()] = np.arange(len(chosen))
     ratio = np.log((chosen["with_1"].to_numpy() + 1.0) / (all_1 + 1)) - np.log((chosen["with_0"].to_numpy() + 1.0) / (all_0 + 1))
     shared = docs.sparkSession.sparkContext.broadcast(place)
@@ -103,16 +127,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
                 found.append(np.unique(at[at >= 0]).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["held", "label"])
 
-    matrix = sample.mapInArrow(extract, "held array<int>, label int").toPandas()
-    x, y = np.zeros((len(matrix), len(chosen))), matrix["label"].to_numpy(np.float64)
-    for k, at in enumerate(matrix["held"]):
-        x[k, at] = ratio[at]
-    weight, bias = _logistic(x, y, RIDGE)
+    matrix = sample.mapInArrow(extract, "held array<int>, label int").toArrow()
+    held, ends = matrix["held"].combine_chunks(), np.cumsum([0, *pc.list_value_length(matrix["held"]).to_pylist()])
+    weight, bias = _logistic(ends, held.flatten().to_numpy(), ratio, matrix["label"].to_numpy().astype(np.float64), RIDGE)
     return ToxicityModel(place, weight * ratio, bias)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, 0 to 1, of the whole text; null and empty texts score as no features do."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``, 0 to 1, of the whole text, of any length.
+
+    Null and empty texts score as no features do; repeated rows score alike; all columns are kept,
+    except that one named ``score_col`` is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +152,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "_score"])
 
     kept = ", ".join(f"`_{k}` {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)], F.col(text_col).alias("_body"))
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)], F.col(f"`{text_col}`").alias("_body"))
     out = slim.mapInArrow(score, f"{kept}{', ' if kept else ''}_score double")
-    return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns) if c != "score"], F.col("_score").alias("score"))
+    return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() != score_col.lower()], F.col("_score").alias(score_col))

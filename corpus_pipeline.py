@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm.bpe import bpe_digests
-from prismlake.llm.common import id_remainder, stored, table
+from prismlake.llm.common import free_name, id_remainder, row_hash, stored, table
 from prismlake.llm.langid import UNKNOWN, fit_languages, predict_languages
 from prismlake.llm.minhash import near_duplicates
 from prismlake.llm.mixing import emit, mix
@@ -18,38 +18,58 @@ TOXIC_AT = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below ``TOXIC_AT``."""
+    """Documents whose toxicity score is below ``TOXIC_AT``.
+
+    Every row is scored on its whole text; repeated rows go or stay together, null and empty texts
+    score as no features do, null ids are scored but not learned from. Without rows, or without
+    labels of both kinds, the score is the same for all. Other columns are kept, whatever their names.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(F.coalesce(id_remainder("doc_id", 3) != 1, F.lit(False)))
     model = fit_toxicity(docs.select("doc_id", "text"), labels)
-    scored = score_toxicity(docs, model)
-    return scored.filter(F.col("score") < TOXIC_AT).select(*docs.columns)
+    score = free_name(docs.columns, "toxicity")
+    return score_toxicity(docs, model, score_col=score).filter(F.col(score) < TOXIC_AT).select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted as ``und``: null texts and those without a letter go, and all if no language was learned.
 
-    The classifier's answer and score have no say in what goes.
+    The classifier's answer and score have no say in what goes. Repeated rows go or stay together;
+    texts of any length count whole; null ids are judged but not learned from; other columns are
+    kept, whatever their names.
     """
     learned = docs.filter(F.coalesce(id_remainder("doc_id", 4) != 2, F.lit(False)))
-    predicted = predict_languages(docs, fit_languages(learned))
-    return predicted.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    lang = free_name(docs.columns, "predicted_language")
+    score = free_name([*docs.columns, lang], "language_score")
+    predicted = predict_languages(docs, fit_languages(learned), pred_col=lang, score_col=score)
+    return predicted.filter(F.col(lang) != UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id, once."""
-    found = near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    """One document of each group of near-duplicates: the one with the smallest id, once.
+
+    Rows that repeat an id are one document; of them the row with the least hash stays, so reruns
+    agree. Null ids, and null and empty texts, are alike to nothing and stay. Other columns are
+    kept, whatever their names.
+    """
+    draw = free_name(docs.columns, "draw")
+    rows = docs.withColumn(draw, row_hash(docs))
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    chosen = rows.groupBy("doc_id").agg(F.min(draw).alias(draw)).join(kept, "doc_id")
+    left = rows.join(chosen, ["doc_id", draw], "left_semi").dropDuplicates(["doc_id", draw])
+    return left.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Ties in size go by id; rows alike in id, text and source share what they are taken together.
+    Other columns are kept, whatever their names.
+    """
     return emit(docs, mix(docs)).select(*docs.columns)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count, ids digest and decoded digest of each document."""
+    """Token count, ids digest and decoded digest of each row; repeated rows give repeated results, null texts count as empty."""
     import public_tokenizers
 
     return bpe_digests(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -63,7 +83,7 @@ STAGES = [
     ("bpe_round_trip", encode_and_decode),
 ]
 
-#: The trained classifiers and the MinHash groups are beyond SQL; no test holds run() or the stages against plain versions yet.
+#: The trained classifiers and the MinHash groups are beyond SQL; tests/llm/test_pipeline.py holds run() and each stage against plain versions.
 ORACLE_SQL = None
 
 

@@ -20,7 +20,7 @@ BITS = 20
 SAMPLE_ROWS = 8000
 #: Features kept: those whose share of texts differs between the labels by so many standard errors.
 LEAST_Z = 4.5
-RIDGE = 0.1
+RIDGE = 0.5
 
 
 @dataclass
@@ -50,7 +50,7 @@ def _logistic(ends: np.ndarray, places: np.ndarray, scale: np.ndarray, y: np.nda
         return np.r_[np.bincount(places, value * g[row], m), g.sum()]
 
     w = np.zeros(m + 1)
-    for _ in range(8):
+    for _ in range(14):
         p = 1 / (1 + np.exp(-np.clip(times(w), -35, 35)))
         curve = np.maximum(p * (1 - p), 1e-9)
         gradient = back(p - y) + penalty * w

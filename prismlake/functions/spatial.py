@@ -39,12 +39,12 @@ def sphere_to_latlon(theta: Column, phi: Column) -> tuple[Column, Column]:
 
 
 def zoom_of(radius_m: Column, lat: Column, points: Column) -> Column:
-    """Map zoom that shows a radius: 0..20; one point 14; no point 0."""
+    """Map zoom that shows a radius: 0..20; one point 14; no point 1."""
     per_pixel = radius_m / 200 / F.cos(F.radians(lat))
     # Fixed value: metres a pixel of the whole map at the equator.
     zoom = F.log2(F.lit(156543.03392804097) / per_pixel).cast("int")
     fitted = F.when(per_pixel > 0, F.least(F.greatest(zoom, F.lit(0)), F.lit(20))).otherwise(F.lit(20))
-    return F.when(points == 0, F.lit(0)).when(points == 1, F.lit(14)).otherwise(fitted)
+    return F.when(points == 0, F.lit(1)).when(points == 1, F.lit(14)).otherwise(fitted)
 
 
 def clip(value: Column, bound: float) -> Column:

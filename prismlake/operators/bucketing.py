@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spatial import LEVELS, cell_key
-from .schema import SEMANTIC_LAT, SEMANTIC_LON, TIME_LEVELS, bucket_column_name
+from .schema import SEMANTIC_LAT, SEMANTIC_LON, TIME_LEVELS, assign_df_id, bucket_column_name
 
 UNKNOWN, MARK = "Unknown", "?"
 #: How far the sketch of a distinct count may be off before a level is counted exactly.
@@ -131,6 +131,19 @@ def grouped_bucketed_projection(df: DataFrame, groups: list[str], candidates: li
     return named.drop("COUNT").join(rows, F.col(id_col) == F.col("_first")).drop("_first")
 
 
+def renumbered(df: DataFrame, id_col: str = "df_id", kept_as: str = "row_id") -> DataFrame:
+    """``df`` in the order of its ids, numbered anew from 0; the old id stays as ``kept_as``."""
+    return assign_df_id(df.withColumnRenamed(id_col, kept_as).orderBy(kept_as), id_col)
+
+
+def in_group_order(projection: DataFrame, by_size: bool = True, id_col: str = "df_id") -> DataFrame:
+    """A grouped projection numbered anew: groups by descending rows, then name (or by name alone), rows by id within."""
+    sizes = projection.groupBy("group_name").agg(F.sum(F.coalesce("COUNT", F.lit(1))).alias("_rows"))
+    placed = projection.withColumnRenamed(id_col, "row_id").join(sizes, "group_name")
+    order = ([F.desc("_rows")] if by_size else []) + [F.col("group_name"), F.col("row_id")]
+    return assign_df_id(placed.orderBy(*order), id_col).drop("_rows")
+
+
 def order_groups(df: DataFrame) -> DataFrame:
     """(group_name, rows) by descending rows, then name."""
     return df.groupBy("group_name").agg(F.sum(F.coalesce("COUNT", F.lit(1))).alias("rows")).orderBy(F.desc("rows"), "group_name")

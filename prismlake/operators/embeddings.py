@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, l2_normalize
 from ..functions.spatial import sphere_to_latlon
+from ..scratch import stored
+from .blocks import is_usable, tile_pairs
 from .schema import SEMANTIC_LAT, SEMANTIC_LON
 
 #: Vectors in a block.
@@ -69,8 +71,6 @@ def _blocks(vectors: DataFrame, rows: int, label: str) -> DataFrame:
     The ids keep their type. Blocks are cut from each partition, numbered in it, and stored, so their
     numbers stay.
     """
-    from ..llm.common import stored
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -125,8 +125,6 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec
     queries times items. Vectors that are null, empty, or hold null or non-finite components take no
     part; vectors of another length are not candidates; a zero vector is at distance 1 of all.
     """
-    from ..llm.tiles import is_usable, tile_pairs
-
     def unit(df: DataFrame) -> DataFrame:
         return df.filter(is_usable(vector_col)).select(F.col(id_col).alias("id"), l2_normalize(F.col(vector_col)).alias("v"))
 

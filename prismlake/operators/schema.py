@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import parse_utc
 from ..functions.spatial import LEVELS, clip
+from ..scratch import stored
 
 # The kinds of record, the core columns and the time levels, finest first.
 DATA_TYPES = ["PHOTO", "VIDEO", "GPX_TRACKPOINT", "GPX_WAYPOINT", "GOOGLE_TAKEOUT_LOCATION"]
@@ -86,11 +87,17 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def assign_df_id(df: DataFrame, name: str = "df_id") -> DataFrame:
-    """Add a contiguous number 0..n-1 in the order of the rows; store the result before further use."""
-    rest = [c for c in df.columns if c != name]
-    slim = df.select(*rest)
-    schema = T.StructType([T.StructField(name, T.LongType(), False), *slim.schema.fields])
-    return slim.sparkSession.createDataFrame(slim.rdd.zipWithIndex().map(lambda p: (p[1], *p[0])), schema)
+    """Add a contiguous number 0..n-1 in the order of the rows.
+
+    Rows are numbered within their partition, written with these numbers, which then stay, and
+    moved by the rows of the partitions before; only one row a partition is ordered and broadcast.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
+    marked = stored(df.select(*rest, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "numbered")
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = sizes.select("_part", (before - F.col("_first")).alias("_move"))
+    return marked.join(F.broadcast(moved), "_part").select((F.col("_at") + F.col("_move")).alias(name), *rest)
 
 
 def clip_coordinates(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import row_hash
 from .bucketing import fill_group_unknown
 
 
@@ -25,7 +26,9 @@ def pick(buckets: DataFrame, ids: list[int], id_col: str = "df_id") -> DataFrame
     """The bucket rows with these ids; an unknown or repeated id is an error."""
     if len(set(ids)) != len(ids):
         raise ValueError("an id is picked twice")
-    picked = buckets.filter(F.col(id_col).isin(ids)) if ids else buckets.limit(0)
+    # the ids are points that a user has picked of one projection, bounded by its row budget
+    chosen = buckets.sparkSession.createDataFrame([(i,) for i in ids], f"{id_col} long")
+    picked = buckets.join(F.broadcast(chosen), id_col, "left_semi")
     found = picked.count()
     if found != len(ids):
         raise KeyError(f"{len(ids) - found} of {len(ids)} ids are not in the projection")
@@ -54,9 +57,14 @@ def subtract_ids(base: DataFrame, ids: DataFrame, id_col: str = "df_id") -> Data
 
 
 def keep_first(df: DataFrame, key: str, order: str = "df_id") -> DataFrame:
-    """The first row of each key by ``order``: ids by hash aggregate, rows by join."""
-    firsts = df.groupBy(key).agg(F.min(order).alias("_first"))
-    return df.join(firsts.select("_first"), F.col(order) == F.col("_first")).drop("_first")
+    """The first row of each key by ``order``; of rows that tie, the one with the least hash. Null is a key too.
+
+    The least (order, hash) of each key comes from a hash aggregate, whole rows by join on all three.
+    """
+    drawn = df.withColumn("_draw", row_hash(df))
+    firsts = drawn.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(F.col(order).alias("o"), "_draw")).alias("_first"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_first.o")) & (F.col("_draw") == F.col("_first._draw"))
+    return drawn.join(firsts, same, "left_semi").dropDuplicates([key]).drop("_draw")
 
 
 def filter_media(df: DataFrame) -> DataFrame:

@@ -14,8 +14,13 @@ from ..operators import embeddings as E
 from ..operators import frames as V
 from ..operators import profile as P
 from ..operators import selection as X
-from ..operators.schema import TIME_LEVELS, bucket_column_name, normalize, validation_report
-from ..sources.sinks import merged
+from ..operators.schema import SEMANTIC_LAT, SEMANTIC_LON, TIME_LEVELS, bucket_column_name, normalize, validation_report
+from ..scratch import scratch_path
+from ..sources import catalog as C
+from ..sources import readers as R
+from ..sources.sinks import merged, upsert
+from ..streaming.ingest import stream_ingest
+from .session import LinkedSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,17 +159,17 @@ def geo_markers(spark, sf_dir):
     return V.geo_frame(_geo_buckets(spark, sf_dir), "DATA_TYPE").select("df_id", "total", F.round("marker_size", 6).alias("marker_size"))
 
 
-@_query(f"""{_GEO}, m AS (SELECT count(*) AS points, avg(cos(radians(lat)) * cos(radians(lon))) AS mx, avg(cos(radians(lat)) * sin(radians(lon))) AS my, avg(sin(radians(lat))) AS mz FROM e WHERE lat IS NOT NULL AND event_id_ok),
+@_query(f"""{_GEO}, m AS (SELECT count(*) AS points, avg(cos(radians(lat)) * cos(radians(lon))) AS mx, avg(cos(radians(lat)) * sin(radians(lon))) AS my, avg(sin(radians(lat))) AS mz FROM e WHERE lat IS NOT NULL),
     c AS (SELECT points, degrees(atan2(mz, sqrt(mx * mx + my * my))) AS clat, degrees(atan2(my, mx)) AS clon FROM m),
-    r AS (SELECT max(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lon - clon) / 2), 2))))) AS radius FROM e, c WHERE lat IS NOT NULL AND event_id_ok)
-    SELECT points, round(clat, 4) AS center_lat, round(clon, 4) AS center_lon, round(radius / 1000, 2) AS radius_km, least(greatest(CAST(trunc(log2(156543.03392804097 / (radius / 200 / cos(radians(clat))))) AS INTEGER), 0), 20) AS zoom FROM c, r""".replace("AND event_id_ok", "AND lat BETWEEN 10 AND 60"))
+    r AS (SELECT max(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lon - clon) / 2), 2))))) AS radius FROM e, c WHERE lat IS NOT NULL)
+    SELECT points, round(clat, 4) AS center_lat, round(clon, 4) AS center_lon, round(radius / 1000, 2) AS radius_km, least(greatest(CAST(trunc(log2(156543.03392804097 / (radius / 200 / cos(radians(clat))))) AS INTEGER), 0), 20) AS zoom FROM c, r""")
 def geo_view(spark, sf_dir):
-    v = V.map_view(_events(spark, sf_dir).filter(F.col("GPS_LATITUDE").between(10, 60)))
+    v = V.map_view(_events(spark, sf_dir))
     return v.select("points", F.round("center_lat", 4).alias("center_lat"), F.round("center_lon", 4).alias("center_lon"), F.round(F.col("radius_m") / 1000, 2).alias("radius_km"), "zoom")
 
 
-# geo_view is, by its SQL, the view of one belt; this one drops no located row
-@_query(ORACLES["geo_view"].replace(" AND lat BETWEEN 10 AND 60", ""))
+# the same view, under its earlier name
+@_query(ORACLES["geo_view"])
 def geo_view_all(spark, sf_dir):
     v = V.map_view(_events(spark, sf_dir))
     return v.select("points", F.round("center_lat", 4).alias("center_lat"), F.round("center_lon", 4).alias("center_lon"), F.round(F.col("radius_m") / 1000, 2).alias("radius_km"), "zoom")
@@ -240,10 +245,10 @@ def l2_normalize(spark, sf_dir):
 
 
 @_query("""WITH n AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, 1 - list_cosine_similarity(q.v, c.v) AS d FROM n q JOIN n c ON q.vec_id % 100 = 0)
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank, round(d, 5) AS distance FROM s QUALIFY rank <= 5""")
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank, vec_id, round(d, 5) AS distance FROM s QUALIFY rank <= 5""")
 def cosine_topk(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings")
-    return E.cosine_topk(v.filter("vec_id % 100 = 0"), v, 5).select("query_id", "rank", F.round("distance", 5).alias("distance"))
+    return E.cosine_topk(v.filter("vec_id % 100 = 0"), v, 5).select("query_id", "rank", "vec_id", F.round("distance", 5).alias("distance"))
 
 
 @_query("SELECT event_id AS df_id, round(90 - degrees(acos(cos(event_id / 1000.0))), 6)::DOUBLE AS lat, round(degrees(atan2(sin(event_id / 1000.0) * cos(event_id / 700.0), sin(event_id / 1000.0) * sin(event_id / 700.0))), 6)::DOUBLE AS lon FROM events")
@@ -296,3 +301,212 @@ def count_missing(spark, sf_dir):
 def project_to_sphere(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("SEMANTIC_EMBEDDING"))
     return E.project_to_sphere(v).drop("SEMANTIC_EMBEDDING")
+
+
+@_query("WITH c AS (" + _GEO + "SELECT count(*) AS total, " + ", ".join(f"count(DISTINCT {_cell(k)}) AS n{k}" for k in range(16)) + " FROM g) SELECT CASE WHEN total <= 1000 THEN 'none' " + " ".join(f"WHEN n{k} <= 1000 THEN '{bucket_column_name('geo', k)}'" for k in reversed(range(16))) + f" ELSE '{bucket_column_name('geo', 0)}' END AS level FROM c")
+def geo_level_choice(spark, sf_dir):
+    e = B.add_geo_cells(_events(spark, sf_dir))
+    level = B.optimal_geo_level(e, 1000)
+    return e.groupBy().agg(F.max(F.lit(level or "none")).alias("level"))
+
+
+@_query(f"WITH b AS ({_HOURS}) SELECT row_number() OVER (ORDER BY df_id) - 1 AS df_id, df_id AS row_id, grp, n FROM b")
+def bucket_numbers(spark, sf_dir):
+    return B.renumbered(_hours(spark, sf_dir)).select("df_id", "row_id", F.col("DATA_TYPE").alias("grp"), F.col("COUNT").alias("n"))
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_orderpriority AS g, date_trunc('day', o_orderdate) AS d FROM orders), s AS (SELECT g, count(*) AS n FROM o GROUP BY g),
+    p AS (SELECT o.g, min(o_orderkey) AS row_id, CASE WHEN s.n > 100 THEN count(*) END AS n, any_value(s.n) AS total FROM o JOIN s ON o.g = s.g GROUP BY o.g, s.n, CASE WHEN s.n > 100 THEN CAST(d AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END)
+    SELECT row_number() OVER (ORDER BY total DESC, g, row_id) - 1 AS df_id, row_id, g AS group_name, n FROM p""")
+def grouped_order(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("df_id"), "o_orderpriority", F.date_trunc("day", F.col("o_orderdate")).alias("day"))
+    p = B.in_group_order(B.grouped_bucketed_projection(rows, ["o_orderpriority"], ["day"], 100))
+    return p.select("df_id", "row_id", "group_name", F.col("COUNT").alias("n"))
+
+
+@_query("SELECT CASE event_id % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+01:00' WHEN 2 THEN '-07:00' END AS \"offset\", count(*) AS rows FROM events GROUP BY 1")
+def utc_offset_counts(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    zone = F.element_at(F.array(F.lit("Z"), F.lit("+01:00"), F.lit("-07:00"), F.lit("")), (F.col("df_id") % 4 + 1).cast("int"))
+    text = F.concat(F.date_format("TIMESTAMP_UTC", "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    return P.utc_offset_counts(e.withColumn("TIMESTAMP_MAYBE_TIMEZONE_AWARE", text))
+
+
+@_query("""SELECT event_id AS df_id, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE event_id / 8.0 END::DOUBLE AS number, event_id * 1000 / 1e7 AS degrees,
+    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN date_trunc('second', ts) - INTERVAL 1 HOUR ELSE date_trunc('second', ts) END::TIMESTAMP AS utc FROM events""")
+def parsed_scalars(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    number = F.when(F.col("df_id") % 3 == 0, "n/a").otherwise((F.col("df_id") / 8).cast("string"))
+    zone = F.when(F.col("df_id") % 5 == 0, " at noon").when(F.col("df_id") % 5 == 1, "+01:00").when(F.col("df_id") % 5 == 2, "Z").otherwise("")
+    time = F.concat(F.date_format("TIMESTAMP_UTC", "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    return e.select("df_id", S.to_number(number, 0.0).alias("number"), S.e7_to_degrees(F.col("df_id") * 1000).alias("degrees"), _ntz(S.parse_utc(time)).alias("utc"))
+
+
+@_query("SELECT event_id AS df_id, event_type AS data_type FROM events WHERE user_id = (SELECT max(user_id) FROM events) ORDER BY event_id LIMIT 1")
+def row_metadata(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("UUID_STRING", F.col("user_id").cast("string"))
+    row = F.from_json(F.lit(X.row_metadata(e, str(e.agg(F.max("user_id")).first()[0]))), "df_id long, DATA_TYPE string")
+    return e.limit(1).select(row["df_id"].alias("df_id"), row["DATA_TYPE"].alias("data_type"))
+
+
+@_query(f"WITH b AS ({_HOURS}) SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS points, true AS bucketed, 'BUCKETED_TIMESTAMP_HOUR' AS level FROM b")
+def plot_totals(spark, sf_dir):
+    return V.plot_totals(_hours(spark, sf_dir), "BUCKETED_TIMESTAMP_HOUR")
+
+
+@_query(f"WITH b AS ({_HOURS}) SELECT count(*) AS points, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM b WHERE grp = 'click' AND extract(hour FROM hour_start) < 6")
+def selection_stats(spark, sf_dir):
+    return V.selection_stats(_picked(spark, sf_dir))
+
+
+@_query(f"{_GEO} SELECT 'f' || user_id AS source_file, ts::TIMESTAMP AS first_time, event_type AS data_type, lat, lon FROM e WHERE lat IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, lat, lon) = 1")
+def first_point_per_file(spark, sf_dir):
+    points = _events(spark, sf_dir).filter("GPS_LATITUDE is not null").withColumn("SOURCE_FILE", F.concat(F.lit("f"), "user_id"))
+    return R.first_point_per_file(points).select(F.col("SOURCE_FILE").alias("source_file"), _ntz("TIMESTAMP_UTC").alias("first_time"), F.col("DATA_TYPE").alias("data_type"), F.col("GPS_LATITUDE").alias("lat"), F.col("GPS_LONGITUDE").alias("lon"))
+
+
+@_query("SELECT event_id AS df_id, event_id % 3 = 0 AS kept FROM events WHERE event_id % 3 = 0 OR event_id % 3 = 1")
+def filter_by_ids(spark, sf_dir):
+    e = _events(spark, sf_dir).select("df_id")
+    chosen = e.filter("df_id % 3 = 0").union(e.select(-F.col("df_id") - 1))
+    rest = X.subtract_ids(e, e.filter("df_id % 3 <> 1"))
+    return X.filter_to_ids(e, chosen).withColumn("kept", F.lit(True)).union(rest.withColumn("kept", F.lit(False)))
+
+
+_LEVEL = "CASE WHEN (SELECT count(DISTINCT date_trunc('second', ts)) FROM events) <= 1000 THEN date_trunc('second', ts) WHEN (SELECT count(DISTINCT date_trunc('minute', ts)) FROM events) <= 1000 THEN date_trunc('minute', ts) WHEN (SELECT count(DISTINCT date_trunc('hour', ts)) FROM events) <= 1000 THEN date_trunc('hour', ts) ELSE date_trunc('day', ts) END"
+
+
+@_query(f"WITH b AS (SELECT event_id, count(*) OVER (PARTITION BY {_LEVEL}, event_type) AS n FROM events) SELECT event_id AS df_id FROM b WHERE n >= 3")
+def session_filter(spark, sf_dir):
+    s = LinkedSession(_events(spark, sf_dir), families=("time",), max_rows=1000)
+    s.apply_filter("time", [r.df_id for r in s.projections["time"].rows.filter("COUNT >= 3").select("df_id").collect()])
+    return s.subset.select("df_id")
+
+
+_SEMANTIC = _GEO.replace("7919) % 180001", "104729) % 180001").replace("104729) % 360001", "7919) % 360001")
+
+
+def _semantic(spark, sf_dir):
+    gone = F.col("event_id") % 50 == 0
+    e = _read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("df_id"), F.col("event_type").alias("DATA_TYPE"),
+        F.when(~gone, (F.col("event_id") * 104729) % 180001 / 1000.0 - 90).alias(SEMANTIC_LAT),
+        F.when(~gone, (F.col("event_id") * 7919) % 360001 / 1000.0 - 180).alias(SEMANTIC_LON))
+    return B.add_semantic_cells(E.drop_empty_embeddings(e))
+
+
+@_query(f"{_SEMANTIC}, b AS (SELECT {_cell(3)} AS cell, coalesce(event_type, 'Unknown') AS grp, count(*) AS n, min(df_id) AS df_id FROM g WHERE x IS NOT NULL GROUP BY 1, 2) SELECT cell, grp, n, df_id, CAST(sum(n) OVER (PARTITION BY grp) AS BIGINT) AS total, round(greatest(3.0, sqrt(n * 400 / max(n) OVER ())), 6)::DOUBLE AS marker_size FROM b")
+def semantic_projection(spark, sf_dir):
+    level = bucket_column_name("semantic", 3)
+    f = V.semantic_frame(B.bucket_by_column(_semantic(spark, sf_dir), level, "DATA_TYPE"), "DATA_TYPE", SEMANTIC_LAT, SEMANTIC_LON)
+    return f.select(F.col(level).alias("cell"), F.col("DATA_TYPE").alias("grp"), F.col("COUNT").alias("n"), "df_id", "total", F.round("marker_size", 6).alias("marker_size"))
+
+
+@_query("WITH c AS (" + _SEMANTIC + "SELECT count(*) AS total, " + ", ".join(f"count(DISTINCT {_cell(k)}) AS n{k}" for k in range(16)) + " FROM g WHERE x IS NOT NULL) SELECT CASE WHEN total <= 500 THEN 'none' " + " ".join(f"WHEN n{k} <= 500 THEN '{bucket_column_name('semantic', k)}'" for k in reversed(range(16))) + f" ELSE '{bucket_column_name('semantic', 0)}' END AS level FROM c")
+def semantic_level_choice(spark, sf_dir):
+    e = _semantic(spark, sf_dir)
+    level = B.optimal_semantic_level(e, 500)
+    return e.groupBy().agg(F.max(F.lit(level or "none")).alias("level"))
+
+
+@_query("SELECT coalesce(CASE WHEN event_id % 7 <> 0 THEN event_type END, '?') || ', ' || (user_id % 3) AS marked, coalesce(CASE WHEN event_id % 7 <> 0 THEN event_type END, 'Unknown') AS filled, count(*) AS n FROM events GROUP BY 1, 2")
+def null_groups(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("DATA_TYPE", F.when(F.col("df_id") % 7 != 0, F.col("DATA_TYPE"))).withColumn("third", F.col("user_id") % 3)
+    return e.groupBy(B.group_name(["DATA_TYPE", "third"]).alias("marked"), B.fill_group_unknown("DATA_TYPE").alias("filled")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+def missing_some(spark, sf_dir):
+    items = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("UUID_STRING"))
+    return E.missing_embeddings(items, items.filter("UUID_STRING % 3 = 0")).withColumnRenamed("UUID_STRING", "c_custkey")
+
+
+@_query("SELECT 0::BIGINT AS o_orderkey, count(*) FILTER (o_orderkey % 7 = 0) AS clerk FROM orders")
+def missing_values(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").withColumn("clerk", F.when(F.col("o_orderkey") % 7 != 0, "c"))
+    return P.count_missing(o, ["o_orderkey", "clerk"])
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(coalesce(text, '')) AS DOUBLE) AS length FROM documents WHERE doc_id % 3 <> 0")
+def embed_missing(spark, sf_dir):
+    items = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("UUID_STRING"), "text")
+    found = E.embed_incremental(items, items.filter("UUID_STRING % 3 = 0"), "text", lambda texts: [[float(len(t or ""))] for t in texts])
+    return found.select(F.col("UUID_STRING").alias("id"), F.col("SEMANTIC_EMBEDDING")[0].cast("double").alias("length"))
+
+
+_CATALOG = """SELECT 'g' || o_orderkey AS uuid, CASE WHEN o_orderkey % 4 = 0 THEN 'VIDEO' ELSE 'PHOTO' END AS data_type, 'f' || c_custkey || '.jpg' AS name, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS caption,
+    '/root' || r_regionkey || '/' || n_name || '/' || 'f' || c_custkey || '.jpg' AS path, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 90 END::DOUBLE AS lat, CAST(o_orderkey % 6 AS INTEGER) AS rating
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"""
+
+
+@_query(_CATALOG)
+def catalog_images(spark, sf_dir):
+    o, c, n, r = (_read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    key = F.col("o_orderkey")
+    tables = {
+        "Adobe_images": o.select(key.alias("id_local"), F.concat(F.lit("g"), key).alias("id_global"), F.col("o_custkey").alias("rootFile"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("captureTime"), (key % 6).alias("rating"), F.when(key % 4 == 0, "ts").otherwise("RAW").alias("fileFormat")),
+        "AgLibraryFile": c.select(F.col("c_custkey").alias("id_local"), F.concat(F.lit("f"), "c_custkey", F.lit(".jpg")).alias("idx_filename"), F.col("c_nationkey").alias("folder")),
+        "AgLibraryFolder": n.select(F.col("n_nationkey").alias("id_local"), F.concat("n_name", F.lit("/")).alias("pathFromRoot"), F.col("n_regionkey").alias("rootFolder")),
+        "AgLibraryRootFolder": r.select(F.col("r_regionkey").alias("id_local"), F.concat(F.lit("/root"), "r_regionkey").alias("absolutePath")),
+        "AgHarvestedExifMetadata": o.filter(key % 3 == 0).select(key.alias("image"), (key % 90).cast("string").alias("gpsLatitude"), F.lit("x").alias("gpsLongitude")),
+        "AgLibraryIPTC": o.filter(key % 5 == 0).select(key.alias("image"), F.col("o_orderpriority").alias("caption")),
+    }
+    found = C.catalog_images(tables)
+    return found.select(F.col("UUID_STRING").alias("uuid"), F.col("DATA_TYPE").alias("data_type"), F.col("NAME").alias("name"), F.col("CAPTION").alias("caption"), F.col("SOURCE_FILE").alias("path"), F.col("GPS_LATITUDE").alias("lat"), F.col("RATING_0_TO_5").alias("rating"))
+
+
+@_query("""WITH k AS (SELECT l_orderkey AS image_id, string_agg('s' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS names FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1)
+    SELECT o_orderkey AS image_id, coalesce(names, '') AS keywords FROM orders LEFT JOIN k ON image_id = o_orderkey""")
+def catalog_keywords(spark, sf_dir):
+    links = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_suppkey").alias("tag"))
+    names = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id_local"), F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("s"), "s_suppkey")).alias("name"))
+    images = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"))
+    return C.attach_lists(images, C.catalog_keywords(links, names), "KEYWORDS").select("image_id", F.array_join("KEYWORDS", ",").alias("keywords"))
+
+
+@_query("""SELECT l_orderkey AS image_id, string_agg('s' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS collections FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1""")
+def catalog_collections(spark, sf_dir):
+    links = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_suppkey").alias("collection"))
+    names = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id_local"), F.when(F.col("s_suppkey") % 5 == 0, "Quick Collection").otherwise(F.concat(F.lit("s"), "s_suppkey")).alias("name"))
+    return C.catalog_collections(links, names).select("image_id", F.array_join("COLLECTIONS", ",").alias("collections"))
+
+
+@_query(ORACLES["upsert_merge"])
+def upsert_table(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path = scratch_path(spark, "upsert")
+    upsert(o, path, "o_orderkey")
+    upsert(o.filter("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("new").alias("note")), path, "o_orderkey")
+    return spark.read.parquet(path)
+
+
+@_query("SELECT CAST(event_id AS VARCHAR) AS uuid, date_trunc('second', ts)::TIMESTAMP AS utc, date_trunc('hour', ts)::TIMESTAMP AS hour_start FROM events")
+def stream_of_files(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("df_id").cast("string").alias("UUID_STRING"), F.date_format("TIMESTAMP_UTC", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("TIMESTAMP_UTC"))
+    source, target, state = (scratch_path(spark, f"stream-{k}") for k in ("source", "target", "state"))
+    e.union(e.filter("UUID_STRING % 4 = 0")).write.json(source)
+    stream_ingest(spark, source, e.schema, target, state).awaitTermination()
+    return spark.read.parquet(target).select(F.col("UUID_STRING").alias("uuid"), _ntz("TIMESTAMP_UTC").alias("utc"), _ntz("BUCKETED_TIMESTAMP_HOUR").alias("hour_start"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY event_id) - 1 >= 0 AS numbered, CAST(event_id AS VARCHAR) AS uuid, date_trunc('second', ts)::TIMESTAMP AS utc, CAST(user_id % 6 AS INTEGER) AS rating FROM events")
+def json_lines(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("df_id").cast("string").alias("UUID_STRING"), F.lit("PHOTO").alias("DATA_TYPE"), F.date_format("TIMESTAMP_UTC", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("TIMESTAMP_UTC"), (F.col("user_id") % 6).alias("RATING_0_TO_5"))
+    path = scratch_path(spark, "json-lines")
+    e.write.json(path)
+    return R.read_jsonl(spark, path).select((F.col("df_id") >= 0).alias("numbered"), F.col("UUID_STRING").alias("uuid"), _ntz("TIMESTAMP_UTC").alias("utc"), F.col("RATING_0_TO_5").alias("rating"))
+
+
+@_query("SELECT 'e' || event_id AS uuid, event_type AS data_type FROM events UNION ALL SELECT 'o' || o_orderkey, 'ORDER' FROM orders")
+def union_of_sources(spark, sf_dir):
+    e = _events(spark, sf_dir).select("df_id", F.concat(F.lit("e"), "df_id").alias("UUID_STRING"), "DATA_TYPE")
+    o = _read(spark, sf_dir, "orders").select(F.lit(0).alias("df_id"), F.concat(F.lit("o"), "o_orderkey").alias("UUID_STRING"), F.lit("ORDER").alias("DATA_TYPE"))
+    return R.union_sources(e, o).select(F.col("UUID_STRING").alias("uuid"), F.col("DATA_TYPE").alias("data_type"))
+
+
+@_query(f"{_GEO} SELECT CAST(df_id AS VARCHAR) AS uuid, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour_start, {_cell(5)} AS cell FROM g WHERE x IS NOT NULL")
+def ingest_points(spark, sf_dir):
+    points = _events(spark, sf_dir).filter("GPS_LATITUDE is not null").withColumn("UUID_STRING", F.col("df_id").cast("string")).withColumn("SOURCE_FILE", F.concat(F.lit("f"), "user_id"))
+    found = R.ingest_tracks(points.union(points.filter("df_id % 4 = 1")))
+    return found.select(F.col("UUID_STRING").alias("uuid"), _ntz("BUCKETED_TIMESTAMP_HOUR").alias("hour_start"), F.col("BUCKETED_CELL_L5").alias("cell"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bucketing as B
 from ..operators import selection as S
 from ..operators.frames import counted
+from ..scratch import stored
 
 BUDGET = 10_000
 #: After so many selections the subset is written out, which cuts its lineage.
@@ -19,7 +19,10 @@ CUT_EVERY = 4
 
 @dataclass(frozen=True)
 class Projection:
-    """Rows or buckets of a subset; ``level`` is the bucket column, None for raw rows."""
+    """Rows or buckets of a subset; ``level`` is the bucket column, None for raw rows.
+
+    Buckets are numbered anew from 0, in the order of their first rows, whose numbers are ``row_id``.
+    """
 
     rows: DataFrame
     level: str | None
@@ -30,12 +33,15 @@ def project(df: DataFrame, family: str, max_rows: int = BUDGET, group: str | Non
     """Drop rows without the family's inputs, choose the level, collapse."""
     usable = B.drop_missing(df, family)
     level = {"geo": B.optimal_geo_level, "time": B.optimal_temporal_level, "semantic": B.optimal_semantic_level}[family](usable, max_rows)
-    return Projection(usable if level is None else B.bucket_by_column(usable, level, group), level, group)
+    return Projection(usable if level is None else stored(B.renumbered(B.bucket_by_column(usable, level, group)), "session-view"), level, group)
 
 
 @dataclass
 class LinkedSession:
-    """``base`` must hold a stored ``df_id``; ``families`` are the projections kept in step."""
+    """``base`` must hold a ``df_id``; ``families`` are the projections kept in step.
+
+    The base is stored once with its bucket columns, of which each later step reads only its own.
+    """
 
     base: DataFrame
     families: tuple[str, ...] = ("geo", "time")
@@ -46,7 +52,7 @@ class LinkedSession:
     _events: int = field(init=False, default=0)
 
     def __post_init__(self) -> None:
-        self.base = B.add_bucketed_columns(self.base)
+        self.base = stored(B.add_bucketed_columns(self.base), "session-base")
         self.reset()
 
     def reset(self) -> None:
@@ -73,17 +79,9 @@ class LinkedSession:
             self.subset = (S.filter_to_buckets if keep else S.subtract_buckets)(rows, picked, view.level, view.group)
         self._events += 1
         if self._events % CUT_EVERY == 0:
-            self._cut()
+            self.subset = stored(self.subset, "session-subset")
         self._project()
 
-    def _cut(self) -> None:
-        spark = self.subset.sparkSession
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder:
-            path = f"{folder.rstrip('/')}/session-{uuid.uuid4().hex}"
-            self.subset.write.parquet(path)
-            self.subset = spark.read.parquet(path)
-
     def summary(self) -> dict:
         """Counts of all and current rows, columns, and level and points of each projection."""
         shown = {f: {"level": p.level, "points": p.rows.count(), "rows": p.rows.agg(F.sum(counted(p.rows))).first()[0] or 0} for f, p in self.projections.items()}

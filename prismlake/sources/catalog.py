@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import build_path, classify_media, parse_utc, to_number
 from ..operators.schema import normalize
 
-# Collections that are the catalog's own.
-IGNORED_COLLECTIONS = ["quick collection", "previous import", "all photographs"]
+# Fixed value: the collection that is the catalog's own.
+IGNORED_COLLECTIONS = ["quick collection"]
+
+# Further columns of the catalog's tables that are kept under their own names.
+EXTRA = {
+    "i": ["rootFile", "captureTime", "rating", "colorLabels", "fileFormat", "originalCaptureTime", "pick", "touchTime"],
+    "f": ["importHash", "baseName", "extension"],
+    "d": ["pathFromRoot"],
+    "r": ["absolutePath"],
+    "x": ["focalLength", "aperture", "flashFired"],
+}
+_TABLE_OF = {"i": "Adobe_images", "f": "AgLibraryFile", "d": "AgLibraryFolder", "r": "AgLibraryRootFolder", "x": "AgHarvestedExifMetadata"}
 
 
 def catalog_images(tables: dict[str, DataFrame]) -> DataFrame:
-    """Images with file, folder, root, exposure and text tables left-joined, one row an image."""
+    """Images with file, folder, root, exposure and text tables left-joined, one row an image; the columns of ``EXTRA`` follow where their tables have them."""
     t = tables
     images = t["Adobe_images"].alias("i")
     joined = (
@@ -35,6 +45,7 @@ def catalog_images(tables: dict[str, DataFrame]) -> DataFrame:
         to_number(F.col("x.gpsLatitude")).alias("GPS_LATITUDE"),
         to_number(F.col("x.gpsLongitude")).alias("GPS_LONGITUDE"),
         to_number(F.col("i.rating"), 0).cast("int").alias("RATING_0_TO_5"),
+        *[F.col(f"{of}.{name}").alias(name) for of, names in EXTRA.items() for name in names if name in t[_TABLE_OF[of]].columns],
     )
     return normalize(rows.distinct())
 

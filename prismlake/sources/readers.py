@@ -50,11 +50,17 @@ def _with_ids(points: DataFrame) -> DataFrame:
 
 
 def read_gpx(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(points, quarantine): track points and waypoints with a time and coordinates; files that do not parse, whole."""
+    """(points, quarantine): track points and waypoints with a time and coordinates; files that are not GPX.
+
+    The quarantine names every file without a ``gpx`` element around well-formed XML, empty files
+    aside; none is lost between the two.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gpx").text(folder, wholetext=True)
     files = raw.select(F.col("_metadata.file_path").alias("SOURCE_FILE"), F.from_xml("value", _GPX, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("g"), "value")
-    good = files.filter("g._corrupt is null and g is not null")
-    bad = files.filter("g._corrupt is not null and trim(value) <> ''").select("SOURCE_FILE")
+    # an HTML page parses too, to a row of nulls
+    is_gpx = F.coalesce(F.col("g").isNotNull() & F.col("g._corrupt").isNull() & F.col("value").rlike(r"(?s)\A\ufeff?\s*(<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(\w+:)?gpx[\s>/]"), F.lit(False))
+    good = files.filter(is_gpx)
+    bad = files.filter(~is_gpx & (F.trim("value") != "")).select("SOURCE_FILE")
     tracks = good.select("SOURCE_FILE", F.explode("g.trk").alias("t")).select("SOURCE_FILE", F.explode("t.trkseg").alias("s")).select("SOURCE_FILE", F.lit("GPX_TRACKPOINT").alias("DATA_TYPE"), F.inline("s.trkpt"))
     marks = good.select("SOURCE_FILE", F.lit("GPX_WAYPOINT").alias("DATA_TYPE"), F.inline("g.wpt"))
     both = tracks.withColumns({"name": F.lit(None).cast("string"), "cmt": F.lit(None).cast("string"), "desc": F.lit(None).cast("string")}).unionByName(marks)
@@ -63,18 +69,22 @@ def read_gpx(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return _with_ids(usable), bad
 
 
-def read_takeout(spark: SparkSession, folder: str) -> DataFrame:
-    """``Records.json`` files: one row a valid location. Invalid JSON, or no ``locations`` array, is an error."""
+def read_takeout(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(points, quarantine) of ``Records.json`` files: one row a valid location; files that are not valid JSON or hold no ``locations`` array.
+
+    One bad file does not keep the others from being read.
+    """
     raw = spark.read.schema("locations variant, _corrupt string").option("recursiveFileLookup", "true").option("pathGlobFilter", "Records.json").option("columnNameOfCorruptRecord", "_corrupt").json(folder, multiLine=True)
     files = raw.select(F.col("_metadata.file_path").alias("SOURCE_FILE"), F.expr("try_variant_get(locations, '$', 'array<variant>')").alias("found"))
-    entries = files.select("SOURCE_FILE", F.explode(F.when(F.col("found").isNull(), F.raise_error(F.lit("not a locations export")).cast("array<variant>")).otherwise(F.col("found"))).alias("e"))
+    entries = files.filter("found is not null").select("SOURCE_FILE", F.explode("found").alias("e"))
+    bad = files.filter("found is null").select("SOURCE_FILE").distinct()
 
     def field(name: str, kind: str):
         return F.expr(f"try_variant_get(e, '$.{name}', '{kind}')")
 
     points = entries.select("SOURCE_FILE", F.lit("GOOGLE_TAKEOUT_LOCATION").alias("DATA_TYPE"), field("timestamp", "string").alias("TIMESTAMP_MAYBE_TIMEZONE_AWARE"), parse_utc(field("timestamp", "string")).alias("TIMESTAMP_UTC"), e7_to_degrees(field("latitudeE7", "bigint")).alias("GPS_LATITUDE"), e7_to_degrees(field("longitudeE7", "bigint")).alias("GPS_LONGITUDE"))
     usable = points.filter(F.col("TIMESTAMP_UTC").isNotNull() & F.col("GPS_LATITUDE").between(-90, 90) & F.col("GPS_LONGITUDE").between(-180, 180))
-    return _with_ids(usable)
+    return _with_ids(usable), bad
 
 
 def read_embeddings(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -97,11 +107,14 @@ def union_sources(*frames: DataFrame) -> DataFrame:
 
 
 def ingest_tracks(points: DataFrame) -> DataFrame:
-    """Distinct rows in order of (time, UUID), with buckets; a UUID that stays repeated is an error."""
+    """Distinct rows in order of (time, UUID), with buckets; a UUID that stays repeated is an error that names the files."""
     from ..operators.bucketing import add_bucketed_columns
-    from .sinks import assert_unique_key
+    from ..operators.profile import duplicate_report
 
-    rows = assert_unique_key(points.distinct(), "UUID_STRING")
+    rows = points.distinct()
+    files = [f"{r[0]} ({r[1]})" for r in duplicate_report(rows, "UUID_STRING", "SOURCE_FILE").orderBy(F.desc("rows")).limit(20).collect()]
+    if files:
+        raise ValueError("repeated UUIDs in: " + ", ".join(files))
     return add_bucketed_columns(rows.repartitionByRange("TIMESTAMP_UTC", "UUID_STRING").sortWithinPartitions("TIMESTAMP_UTC", "UUID_STRING"))
 
 

@@ -25,16 +25,19 @@ def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
 def merged(old: DataFrame | None, new: DataFrame, key: str, order: str | None = None, mode: str = "replace") -> DataFrame:
     """Rows of both by key: the new row wins whole; of several new rows the last by ``order``.
 
-    Columns of either side are kept; those a new row lacks become null, or with ``mode="patch"`` keep
-    the old value. Keys are joined and aggregated by hash; no window holds a key's rows together.
+    Without ``order`` a later row of the frame wins, as its partitions are numbered; equal places
+    can't occur, so the choice is the same whenever the frame is. Columns of either side are kept;
+    those a new row lacks become null, or with ``mode="patch"`` keep the old value. Keys are joined and
+    aggregated by hash; no window holds a key's rows together.
     """
     if not new.columns:
         raise ValueError("the incoming frame has no columns")
     for c in new.columns:
         validate_identifier(c)
-    if order:
-        last = new.groupBy(key).agg(F.max(order).alias("_last")).withColumnRenamed(key, "_key")
-        new = new.join(last, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_last"))).drop("_key", "_last")
+    names = new.columns
+    placed = new.withColumn("_place", F.struct(*([F.col(order)] if order else []), F.monotonically_increasing_id()))
+    last = placed.groupBy(F.col(key).alias("_key")).agg(F.max("_place").alias("_last"))
+    new = placed.join(last, (F.col(key) == F.col("_key")) & (F.col("_place") == F.col("_last"))).select(*names)
     if old is None:
         return new
     if mode == "patch":
@@ -50,8 +53,9 @@ def merged(old: DataFrame | None, new: DataFrame, key: str, order: str | None =
 def upsert(df: DataFrame, path: str, key: str, order: str | None = None, mode: str = "replace") -> None:
     """Merge ``df`` into the Parquet table at ``path``; made if absent, new columns added.
 
-    The result is written beside the table and read back over it, so a failed write leaves the table
-    as it was. Writers must not run at the same time.
+    The result is written beside the table and checked there; then the old table is moved aside,
+    the new one moved in, and the old one deleted, so a failure at any point leaves a whole table, at
+    ``path`` or beside it. Writers must not run at the same time.
     """
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,8 +64,14 @@ def upsert(df: DataFrame, path: str, key: str, order: str | None = None, mode: s
     if old is not None:
         assert_unique_key(old, key)
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    assert_unique_key(merged(old, df, key, order, mode), key).write.parquet(staged)
-    if old is not None:
-        fs.delete(target, True)
+    merged(old, df, key, order, mode).write.parquet(staged)
+    assert_unique_key(spark.read.parquet(staged), key)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
+    if old is not None and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), target):
+        if old is not None:
+            fs.rename(aside, target)
         raise OSError(f"could not move {staged} to {path}")
+    if old is not None:
+        fs.delete(aside, True)

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..functions.scalars import row_hash
 from ..operators.bucketing import add_bucketed_columns
 from ..operators.schema import normalize
 from ..sources.sinks import upsert
 
 
 def stream_ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str = "UUID_STRING") -> StreamingQuery:
-    """Merge each batch of new JSON-lines files into ``target`` until none is left. A replayed batch changes nothing."""
+    """Merge each batch of new JSON-lines files into ``target`` until none is left.
+
+    Of rows of one batch that share a key the one with the greatest hash of its content is kept, so a
+    replayed batch changes nothing.
+    """
     rows = add_bucketed_columns(normalize(spark.readStream.schema(schema).json(source)))
 
     def merge(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            upsert(batch.dropDuplicates([key]), target, key)
+            drawn = batch.withColumn("_draw", row_hash(batch))
+            top = drawn.groupBy(F.col(key).alias("_key")).agg(F.max("_draw").alias("_top"))
+            same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_draw") == F.col("_top"))
+            upsert(drawn.join(top, same, "left_semi").drop("_draw").dropDuplicates([key]), target, key)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

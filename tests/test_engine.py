@@ -10,27 +10,28 @@ from prismlake.operators import selection as X
 from prismlake.operators.frames import map_view
 from prismlake.operators.schema import assign_df_id, clip_coordinates, validate_identifier
 from prismlake.plans.session import LinkedSession
-from prismlake.sources.readers import read_gpx, read_jsonl, read_takeout
+from prismlake.sources.catalog import catalog_collections
+from prismlake.sources.readers import ingest_tracks, read_gpx, read_jsonl, read_takeout
 from prismlake.sources.sinks import merged, upsert
 
 
 @pytest.fixture(scope="module")
-def category_5(spark):
-    rows = [(0, "A", "GPX_WAYPOINT"), (1, "B", "GPX_WAYPOINT"), (2, "A", "GPX_TRACKPOINT"), (3, "C", "GPX_TRACKPOINT"), (4, "B", "GPX_WAYPOINT")]
+def places(spark):
+    rows = [(0, "north", "WALK"), (1, "east", "WALK"), (2, "north", "RIDE"), (3, "west", "RIDE"), (4, "east", "WALK"), (5, "north", "RIDE")]
     return spark.createDataFrame(rows, "df_id long, category string, DATA_TYPE string")
 
 
-def test_bucket_and_select_are_inverse(category_5):
-    buckets = B.bucket_by_column(category_5, "category", "DATA_TYPE")
-    assert buckets.agg(F.sum("COUNT")).first()[0] == 5
-    picked = buckets.filter("(category = 'A' and DATA_TYPE = 'GPX_TRACKPOINT') or category = 'B'")
-    kept = {r.df_id for r in X.filter_to_buckets(category_5, picked, "category", "DATA_TYPE").collect()}
-    gone = {r.df_id for r in X.subtract_buckets(category_5, picked, "category", "DATA_TYPE").collect()}
-    assert kept == {1, 2, 4} and gone == {0, 3}
+def test_bucket_and_select_are_inverse(places):
+    buckets = B.bucket_by_column(places, "category", "DATA_TYPE")
+    assert buckets.agg(F.sum("COUNT")).first()[0] == 6
+    picked = buckets.filter("(category = 'north' and DATA_TYPE = 'RIDE') or category = 'east'")
+    kept = {r.df_id for r in X.filter_to_buckets(places, picked, "category", "DATA_TYPE").collect()}
+    gone = {r.df_id for r in X.subtract_buckets(places, picked, "category", "DATA_TYPE").collect()}
+    assert kept == {1, 2, 4, 5} and gone == {0, 3}
     with pytest.raises(KeyError):
         X.pick(buckets, [99])
     with pytest.raises(KeyError):
-        B.bucket_by_column(category_5, "none")
+        B.bucket_by_column(places, "none")
 
 
 @pytest.mark.parametrize("budget, level", [(2, "DAY"), (10, "HOUR"), (1000, "MINUTE"), (10_000, None)])
@@ -50,7 +51,7 @@ def test_cells_nest_and_skip_nulls(spark):
 def test_map_view_over_the_date_line(spark):
     v = map_view(spark.createDataFrame([(40.0, 179.0), (40.0, -179.0)], "GPS_LATITUDE double, GPS_LONGITUDE double")).first()
     assert abs(abs(v.center_lon) - 180) < 0.01 and v.radius_m < 500_000
-    assert map_view(spark.createDataFrame([], "GPS_LATITUDE double, GPS_LONGITUDE double")).first().zoom == 0
+    assert map_view(spark.createDataFrame([], "GPS_LATITUDE double, GPS_LONGITUDE double")).first().zoom == 1
 
 
 def test_session_complements(spark):
@@ -72,8 +73,12 @@ def test_upsert_replaces_by_key(spark, tmp_path):
     upsert(spark.createDataFrame([(1, 1.1), (2, 2.2)], "k int, v double"), path, "k")
     upsert(spark.createDataFrame([(1, 1.2, "x"), (3, 3.3, "y")], "k int, v double, note string"), path, "k")
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 1.2), (2, 2.2), (3, 3.3)]
+    upsert(spark.createDataFrame([(5, 1.0), (5, 2.0)], "k int, v double").coalesce(1), path, "k")  # the later row wins
+    assert [r.v for r in spark.read.parquet(path).filter("k = 5").collect()] == [2.0]
+    spark.createDataFrame([(1, 1.0), (1, 2.0)], "k int, v double").write.parquet(str(tmp_path / "twice"))
     with pytest.raises(ValueError):
-        upsert(spark.createDataFrame([(5, 1.0), (5, 2.0)], "k int, v double"), path, "k")
+        upsert(spark.createDataFrame([(5, 1.0)], "k int, v double"), str(tmp_path / "twice"), "k")
+    assert spark.read.parquet(str(tmp_path / "twice")).count() == 2
     patched = merged(spark.createDataFrame([(1, "a", "b")], "k int, x string, y string"), spark.createDataFrame([(1, "c")], "k int, x string"), "k", mode="patch")
     assert patched.first().asDict() == {"k": 1, "x": "c", "y": "b"}
     with pytest.raises(ValueError):
@@ -81,16 +86,44 @@ def test_upsert_replaces_by_key(spark, tmp_path):
 
 
 def test_read_gpx_and_takeout(spark, tmp_path):
-    good = """<gpx xmlns="http://www.topografix.com/GPX/1/1"><wpt lat="37.7751" lon="-122.4196"><time>2023-01-01T12:10:00Z</time><name>Test Waypoint</name><desc>A test waypoint</desc></wpt>
-    <trk><trkseg><trkpt lat="37.7749" lon="-122.4194"><time>2023-01-01T12:00:00Z</time></trkpt><trkpt lat="37.7750" lon="-122.4195"><time>2023-01-01T12:05:00Z</time></trkpt></trkseg></trk></gpx>"""
+    good = """<?xml version="1.0"?><!-- a ride --><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><wpt lat="59.3293" lon="18.0686"><time>2022-05-04T08:40:00Z</time><name>Ferry quay</name><desc>Leave the bikes here</desc></wpt>
+    <trk><trkseg><trkpt lat="59.3251" lon="18.0711"><time>2022-05-04T08:10:00Z</time></trkpt><trkpt lat="59.3260" lon="18.0702"><time>2022-05-04T08:20:30Z</time></trkpt><trkpt lat="59.3" lon="18.1"></trkpt></trkseg></trk></gpx>"""
     (tmp_path / "a.gpx").write_text(good)
     (tmp_path / "b.gpx").write_text("<gpx><trk>")
+    (tmp_path / "page.gpx").write_text("<html><body>gpx</body></html>")
+    (tmp_path / "words.gpx").write_text("not xml")
+    (tmp_path / "none.gpx").write_text("<gpx></gpx>")
+    (tmp_path / "empty.gpx").write_text("")
     points, bad = read_gpx(spark, str(tmp_path))
-    assert points.count() == 3 and bad.count() == 1
-    assert points.filter("NAME = 'Test Waypoint' and CAPTION = 'A test waypoint'").count() == 1
-    (tmp_path / "r").mkdir()
-    (tmp_path / "r" / "Records.json").write_text(json.dumps({"locations": [{"timestamp": "2024-01-01T00:00:00Z", "latitudeE7": 377749000, "longitudeE7": -1224194000}, "text", {"latitudeE7": 1}, {"timestamp": "2024-01-01T00:00:00Z", "latitudeE7": 1000000000, "longitudeE7": 0}]}))
-    assert read_takeout(spark, str(tmp_path / "r")).count() == 1
+    assert points.count() == 3
+    assert {r.SOURCE_FILE.rsplit("/", 1)[1] for r in bad.collect()} == {"b.gpx", "page.gpx", "words.gpx"}
+    assert points.filter("NAME = 'Ferry quay' and CAPTION = 'Leave the bikes here'").count() == 1
+    for name in ("one", "two", "three"):
+        (tmp_path / "r" / name).mkdir(parents=True)
+    (tmp_path / "r" / "one" / "Records.json").write_text(json.dumps({"locations": [{"timestamp": "2021-03-01T00:00:00Z", "latitudeE7": 593293000, "longitudeE7": 180686000}, "text", {"latitudeE7": 1}, {"timestamp": "2021-03-01T00:00:00Z", "latitudeE7": 1000000000, "longitudeE7": 0}]}))
+    (tmp_path / "r" / "two" / "Records.json").write_text("{broken")
+    (tmp_path / "r" / "three" / "Records.json").write_text(json.dumps({"places": []}))
+    points, bad = read_takeout(spark, str(tmp_path / "r"))
+    assert points.count() == 1 and {r.SOURCE_FILE.rsplit("/", 2)[1] for r in bad.collect()} == {"two", "three"}
+
+
+def test_keep_first_of_each_key(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (2, 3, "b"), (2, 5, "c"), (3, 1, "d"), (3, 1, "e"), (3, 1, "e"), (None, 2, "f"), (None, 1, "g")], "k int, o int, v string")
+    got = {r.k: (r.o, r.v) for r in X.keep_first(rows, "k", "o").collect()}
+    assert X.keep_first(rows, "k", "o").count() == 4 and got[1] == (5, "a") and got[2] == (3, "b") and got[3][0] == 1 and got[None] == (1, "g")
+
+
+def test_ingest_names_files_of_repeated_points(spark):
+    rows = spark.createDataFrame([("u1", "a", 1.0), ("u1", "b", 1.0), ("u2", "b", 2.0), ("u2", "b", 2.0)], "UUID_STRING string, SOURCE_FILE string, GPS_LATITUDE double").withColumn("TIMESTAMP_UTC", F.lit("2020-01-01").cast("timestamp"))
+    with pytest.raises(ValueError, match=r"a \(1\), b \(1\)|b \(1\), a \(1\)"):
+        ingest_tracks(rows)
+    assert ingest_tracks(rows.filter("UUID_STRING = 'u2'")).count() == 1
+
+
+def test_catalog_ignores_only_its_own_collection(spark):
+    links = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "image int, collection int")
+    names = spark.createDataFrame([(1, "Quick Collection"), (2, "previous import"), (3, "Trips")], "id_local int, name string")
+    assert catalog_collections(links, names).first().COLLECTIONS == ["Trips", "previous import"]
 
 
 def test_read_jsonl_numbers_rows(spark, tmp_path):
@@ -105,7 +138,8 @@ def test_scalars(spark):
     a, b = df.select(parse_utc(F.col("t")).alias("t"), classify_media(F.col("f")).alias("m"), build_path(F.col("r"), F.lit("x"), F.col("n")).alias("p")).collect()
     assert a.t == dt.datetime(2024, 1, 1, 9) and a.m == "VIDEO" and a.p == "/r/x/a/b.jpg"
     assert b.t is None and b.m == "PHOTO" and b.p is None
-    assert [r.df_id for r in assign_df_id(df).collect()] == [0, 1]
+    assert [(r.df_id, r.t) for r in assign_df_id(df).orderBy("df_id").collect()] == [(0, "2024-01-01T10:00:00+01:00"), (1, "bad")]
+    assert [r.m for r in spark.createDataFrame([("ts",), ("DV",), ("vob",), ("mpeg",)], "f string").select(classify_media(F.col("f")).alias("m")).collect()] == ["VIDEO", "VIDEO", "VIDEO", "PHOTO"]
 
 
 def test_queries_and_sql_name_the_same():

@@ -4,7 +4,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from prismlake.llm import toxicity
 from prismlake.operators.embeddings import cosine_topk
 from prismlake.plans.queries import QUERIES
 
@@ -40,13 +39,3 @@ def test_cosine_topk_answers_any_number_of_queries(spark):
         want = np.lexsort((np.arange(60), np.round(distance, 12)))[:3]
         assert [(b["rank"], b["vec_id"]) for b in got[f"q{i}"]] == [(r + 1, f"v{w:02}") for r, w in enumerate(want)]
         assert np.allclose([b["distance"] for b in got[f"q{i}"]], distance[want], atol=1e-9)
-
-
-def test_toxicity_scans_texts_in_their_own_partitions(spark, monkeypatch):
-    docs = spark.range(0, 120, 1, 12).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.when(F.col("id") % 3 == 0, "idiot moron").otherwise("kind words"), "id").alias("text"), F.spark_partition_id().alias("part"))
-    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
-    plans = {}
-    store = toxicity.stored
-    monkeypatch.setattr(toxicity, "stored", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().toString()) and store(df, label))
-    toxicity.fit_toxicity(docs, labels)
-    assert "Coalesce" not in plans["toxicity-sample"] and "REPARTITION_BY_NUM" in plans["toxicity-sample"]

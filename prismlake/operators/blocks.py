@@ -29,7 +29,11 @@ def tile_pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
     if ordered:
         turned = F.pmod(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), F.lit(2)) == 0
         on = on & ((F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) == turned))
-    numbers = a.join(b, on).select("dims", "a", "b")
+    return with_contents(a.join(b, on).select("dims", "a", "b"), left, right)
+
+
+def with_contents(numbers: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of numbers (dims, a, b) with the ids and data of both blocks."""
     with_a = numbers.join(left.select(F.col("tile").alias("a"), F.col("ids").alias("ids_a"), F.col("data").alias("data_a")), "a")
     both = with_a.join(right.select(F.col("tile").alias("b"), F.col("ids").alias("ids_b"), F.col("data").alias("data_b")), "b")
     return both.select("dims", "a", "b", "ids_a", "data_a", "ids_b", "data_b")

@@ -340,7 +340,7 @@ def parsed_scalars(spark, sf_dir):
     number = F.when(F.col("df_id") % 3 == 0, "n/a").otherwise((F.col("df_id") / 8).cast("string"))
     zone = F.when(F.col("df_id") % 5 == 0, " at noon").when(F.col("df_id") % 5 == 1, "+01:00").when(F.col("df_id") % 5 == 2, "Z").otherwise("")
     time = F.concat(F.date_format("TIMESTAMP_UTC", "yyyy-MM-dd'T'HH:mm:ss"), zone)
-    return e.select("df_id", S.to_number(number, 0.0).alias("number"), S.e7_to_degrees(F.col("df_id") * 1000).alias("degrees"), _ntz(S.parse_utc(time)).alias("utc"))
+    return e.select("df_id", S.to_number(number, 0.0).alias("number"), S.e7_to_degrees(F.col("df_id") * 1000).alias("degrees"), S.parse_utc(time).cast("timestamp_ntz").alias("utc"))
 
 
 @_query("SELECT event_id AS df_id, event_type AS data_type FROM events WHERE user_id = (SELECT max(user_id) FROM events) ORDER BY event_id LIMIT 1")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import with_contents
 from .common import stored
 from .graph import components
 from .tiles import is_usable, packed, tile_pairs
@@ -28,19 +29,45 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), step, error
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """The vectors by their largest component, a power of two, so that squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
+_FOUND = ["u", "v", "others", "a", "b", "dims"]
+
+
+def _light(data: np.ndarray) -> bytes:
+    """A tile's unit vectors as whole numbers, with the step, the norm of the error and the copies of each."""
+    v, copies = data[:, :-1], data[:, -1]
+    v = scaled(v)
+    q, step, error = quantised(v / np.sqrt((v * v).sum(1))[:, None])
+    return np.concatenate([step, error, copies]).astype("<f8").tobytes() + q.tobytes()
+
+
+def _parts(data: bytes, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // (24 + dims)
+    step, error, copies = np.frombuffer(data, "<f8", 3 * n).reshape(3, n)
+    return np.frombuffer(data, np.int8, n * dims, 24 * n).reshape(n, dims), step, error, copies
+
+
+def bounded_mask(qa: np.ndarray, step_a: np.ndarray, err_a: np.ndarray, qb: np.ndarray, step_b: np.ndarray, err_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(surely linked, doubtful) pairs by the product of the whole numbers and its error bound."""
+    # whole numbers: exact in single precision while dims * 127**2 < 2**24
+    kind = np.float32 if qa.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    near = (qa.astype(kind) @ qb.astype(kind).T) * (step_a[:, None] * step_b[None, :])
+    bound = err_a[:, None] * (1 + err_b[None, :]) + err_b[None, :] + 1e-9
+    sure = near - bound >= threshold + 1e-9
+    return sure, (near + bound >= threshold) & ~sure
+
+
 def linked_mask(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Which rows of ``a`` and ``b`` have a cosine of at least ``threshold``, in double precision."""
+    a, b = scaled(a), scaled(b)
     norm_a, norm_b = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
     unit_a, unit_b = a / norm_a[:, None], b / norm_b[:, None]
-    qa, step_a, err_a = quantised(unit_a)
-    qb, step_b, err_b = quantised(unit_b)
-    # whole numbers: exact in single precision while dims * 127**2 < 2**24
-    kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    product = qa.astype(kind) @ qb.astype(kind).T
-    bound = err_a[:, None] * (1 + err_b[None, :]) + err_b[None, :] + 1e-9
-    near = product * (step_a[:, None] * step_b[None, :])
-    mask = near - bound >= threshold + 1e-9
-    i, j = np.nonzero((near + bound >= threshold) & ~mask)
+    mask, doubtful = bounded_mask(*quantised(unit_a), *quantised(unit_b), threshold)
+    i, j = np.nonzero(doubtful)
     if len(i):
         for at in range(0, len(i), 1 << 16):
             k, m = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
@@ -68,8 +95,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows:
     """One row per row of ``vectors``: id, ``n_links``, ``component_id``, ``kept``.
 
     Equal vectors are folded first, so copies cost nothing and count by their number. The others
-    are packed in tiles; each pair of tiles is one int8 product, and only pairs whose error bound
-    reaches the threshold are computed again in double precision. A task returns link counts and a
+    are packed in tiles of int8 numbers with a step and an error norm each; each pair of tiles is one
+    product of these. Only pairs of tiles that hold a pair within its error bound of the threshold
+    are sent again in double precision, where just such pairs are computed anew. A task returns link counts and a
     spanning forest of its links, at most a few rows a vector, never all links. Vectors of unlike
     length do not link. Vectors that are null, zero, or hold null or non-finite components have no
     links and their own id as component; a null id takes no part (component_id null, kept). Rows
@@ -82,30 +110,50 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows:
     members = stored(keyed.groupBy("key", "id").agg(F.count("*").alias("n"), F.first("v").alias("v")), "embedding-members")
     folded = stored(members.groupBy("key").agg(F.min("id").alias("rep"), F.sum("n").alias("copies"), F.first("v").alias("v")), "embedding-folded")
     numbered = folded.select(F.xxhash64("key").alias("node"), "key", "rep", "copies", "v")
-    tiles = packed(numbered.select("node", F.concat("v", F.array(F.col("copies").cast("double")))), tile_rows, "embedding-tiles")
-    pairs = tile_pairs(tiles, tiles, ordered=True)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tiles = packed(numbered.select("node", F.concat("v", F.array(F.col("copies").cast("double")))), tile_rows, "embedding-tiles", data=np.ndarray.tobytes, light=_light)
+    light, full = tiles.select("tile", "dims", "ids", F.col("light").alias("data")), tiles.select("tile", "dims", "ids", "data")
+
+    def links(mask: np.ndarray, same: bool, ids: tuple, copies: tuple) -> Iterator[pa.RecordBatch]:
+        none = pa.int64()
+        if same:
+            np.fill_diagonal(mask, False)
+        if not mask.any():
+            return
+        u, v = _forest(mask, *ids)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *(pa.nulls(len(u), none) for _ in range(3)), pa.nulls(len(u), pa.int32())], names=_FOUND)
+        of, others = ids[0], mask @ copies[1]
+        if not same:
+            of, others = np.r_[ids[0], ids[1]], np.r_[others, copies[0] @ mask]
+        some = others > 0
+        n = int(some.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(of[some]), pa.nulls(n, none), pa.array(others[some].astype(np.int64)), pa.nulls(n, none), pa.nulls(n, none), pa.nulls(n, pa.int32())], names=_FOUND)
+
+    def compare_light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                dims, same = row["dims"], row["a"] == row["b"]
-                ids_a, ids_b = np.frombuffer(row["ids_a"], "<i8"), np.frombuffer(row["ids_b"], "<i8")
-                a, b = np.frombuffer(row["data_a"], "<f8").reshape(-1, dims), np.frombuffer(row["data_b"], "<f8").reshape(-1, dims)
-                a, copies_a, b, copies_b = a[:, :-1], a[:, -1], b[:, :-1], b[:, -1]
-                mask = linked_mask(a, b, threshold)
+                same, dims = row["a"] == row["b"], row["dims"] - 1
+                ids = tuple(np.frombuffer(row[c], "<i8") for c in ("ids_a", "ids_b"))
+                (qa, step_a, err_a, copies_a), (qb, step_b, err_b, copies_b) = (_parts(row[c], dims) for c in ("data_a", "data_b"))
+                sure, doubtful = bounded_mask(qa, step_a, err_a, qb, step_b, err_b, threshold)
                 if same:
-                    np.fill_diagonal(mask, False)
-                if not mask.any():
-                    continue
-                u, v = _forest(mask, ids_a, ids_b)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["u", "v", "others"])
-                of, others = ids_a, mask @ copies_b
-                if not same:
-                    of, others = np.r_[ids_a, ids_b], np.r_[others, copies_a @ mask]
-                some = others > 0
-                yield pa.RecordBatch.from_arrays([pa.array(of[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(others[some].astype(np.int64))], names=["u", "v", "others"])
-
-    found = stored(pairs.mapInArrow(compare, "u long, v long, others long"), "embedding-links")
+                    np.fill_diagonal(doubtful, False)
+                if doubtful.any():
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([row["a"]]), pa.array([row["b"]]), pa.array([row["dims"]], pa.int32())], names=_FOUND)
+                else:
+                    yield from links(sure, same, ids, (copies_a, copies_b))
+
+    def compare_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = tuple(np.frombuffer(row[c], "<i8") for c in ("ids_a", "ids_b"))
+                a, b = (np.frombuffer(row[c], "<f8").reshape(-1, row["dims"]) for c in ("data_a", "data_b"))
+                yield from links(linked_mask(a[:, :-1], b[:, :-1], threshold), row["a"] == row["b"], ids, (a[:, -1], b[:, -1]))
+
+    kinds = "u long, v long, others long, a long, b long, dims int"
+    first = stored(tile_pairs(light, light, ordered=True).mapInArrow(compare_light, kinds), "embedding-links")
+    open_pairs = first.filter("a is not null").select("dims", "a", "b")
+    second = stored(with_contents(open_pairs, full, full).mapInArrow(compare_full, kinds), "embedding-links")
+    found = first.filter("a is null").unionByName(second)
     linked = found.filter("others is not null").groupBy("u").agg(F.sum("others").alias("others"))
     names = numbered.select("node", "rep")
     forest = found.filter("v is not null").join(names.select(F.col("node").alias("u"), F.col("rep").alias("ru")), "u").join(names.select(F.col("node").alias("v"), F.col("rep").alias("rv")), "v")

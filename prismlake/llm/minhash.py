@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     open_rows = stored(placed.join(chosen, "bucket"), "minhash-open")
     links = links.unionByName(stored(_linked_in_blocks(_block_rows(open_rows, percent), texts, percent), "minhash-links"))
 
-    same_set = folded.select("set_key", "rep")
+    # copies of a set: stored, so that the join has an exchange on either side and a set that very many documents share is split
+    same_set = stored(usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("set_key", "rep"), "minhash-copies")
     own = usable.select("id", "set_key").join(same_set, "set_key").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     final = stored(components(links.unionByName(own)), "minhash-components")
     named = signed.join(final.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))

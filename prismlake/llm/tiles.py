@@ -1,28 +1,27 @@
-"""Vectors packed into tiles, and pairs of tiles dealt to tasks by an equi-join."""
+"""Vectors packed into tiles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.blocks import is_usable, tile_pairs
 from .common import stored
 
+__all__ = ["is_usable", "packed", "tile_pairs"]
 
-def is_usable(vector_col: str):
-    """Neither null nor empty, and no component null or not finite."""
-    v = F.col(vector_col)
-    return v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
+def packed(vectors: DataFrame, rows: int, label: str, **contents: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(tile, dims, ids) and a column for each of ``contents``: up to ``rows`` vectors (id, vector of doubles) of one length a row.
 
-def packed(vectors: DataFrame, rows: int, label: str) -> DataFrame:
-    """(tile, dims, ids, data): up to ``rows`` vectors (id, vector of doubles) of one length a row.
-
-    Tiles are cut from each partition, numbered in it, and stored, so their numbers stay.
+    ``contents`` make the columns of a tile's vectors, by default ``data``, their doubles. Tiles are cut from each partition, numbered in it,
+    and stored, so their numbers stay.
     """
+    made_of = contents or {"data": np.ndarray.tobytes}
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -34,7 +33,7 @@ def packed(vectors: DataFrame, rows: int, label: str) -> DataFrame:
             nonlocal made
             ids, data = held.pop(dims)
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([dims], pa.int32()), pa.array([np.asarray(ids, "<i8").tobytes()]), pa.array([np.asarray(data, "<f8").tobytes()])], names=["tile", "dims", "ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([dims], pa.int32()), pa.array([np.asarray(ids, "<i8").tobytes()]), *(pa.array([of(np.asarray(data, "<f8"))]) for of in made_of.values())], names=["tile", "dims", "ids", *made_of])
 
         for batch in batches:
             for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -47,18 +46,4 @@ def packed(vectors: DataFrame, rows: int, label: str) -> DataFrame:
         for dims in list(held):
             yield tile(dims)
 
-    return stored(vectors.mapInArrow(pack, "tile long, dims int, ids binary, data binary"), label)
-
-
-def tile_pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """Each tile of ``left`` beside each tile of ``right`` with as many dimensions, one pair a row.
-
-    The pairs are a join on ``dims`` of tile numbers alone; contents are joined to them by number.
-    With ``ordered`` a pair of one table comes once, the smaller number left.
-    """
-    a = left.select("dims", F.col("tile").alias("a"))
-    b = right.select(F.col("dims").alias("dims_b"), F.col("tile").alias("b"))
-    numbers = a.join(b, (F.col("dims") == F.col("dims_b")) & (F.col("a") <= F.col("b")) if ordered else F.col("dims") == F.col("dims_b")).select("dims", "a", "b")
-    with_a = numbers.join(left.select(F.col("tile").alias("a"), F.col("ids").alias("ids_a"), F.col("data").alias("data_a")), "a")
-    both = with_a.join(right.select(F.col("tile").alias("b"), F.col("ids").alias("ids_b"), F.col("data").alias("data_b")), "b")
-    return both.select("dims", "a", "b", "ids_a", "data_a", "ids_b", "data_b")
+    return stored(vectors.mapInArrow(pack, "tile long, dims int, ids binary" + "".join(f", {name} binary" for name in made_of)), label)

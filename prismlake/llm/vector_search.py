@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,12 @@ def threshold_search(data: np.ndarray, ids: np.ndarray, order: np.ndarray, query
     return [(int(score[b]), int(ids[b])) for b in best]
 
 
+def _asked(row: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(id, hash of the vector, vector) of each query of a block: rows of one id that differ are ranked apart."""
+    for own, query in zip(np.frombuffer(row["ids_a"], "<i8").tolist(), np.frombuffer(row["data_a"], "<f8").reshape(-1, row["dims"])):
+        yield own, int.from_bytes(xxhash.xxh64_digest(query.tobytes()), "big", signed=True), query
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row of ``queries`` the ``k`` rows of ``vectors`` with the highest integer inner product.
 
@@ -70,25 +77,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     returned. Candidates are packed in blocks with their sorted lists; each block answers a block of
     queries by the threshold algorithm, and the blocks' answers, k a query, are ranked. Null ids,
     and vectors that are null, empty, or hold null or non-finite components, take no part; vectors
-    of another length are not candidates. Rows that repeat an id are candidates each.
+    of another length are not candidates. Rows that repeat an id are candidates each; equal query
+    rows are asked once, and rows of one id with different vectors are ranked apart. Other columns
+    are ignored, whatever their names.
     """
     def whole(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
         return rows.filter(F.col("id").isNotNull() & is_usable("v")).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
-    pairs = tile_pairs(packed(whole(queries), QUERY_ROWS, "search-queries"), packed(whole(vectors), TILE_ROWS, "search-blocks"), ordered=False)
+    def with_lists(data: np.ndarray) -> bytes:
+        return data.tobytes() + np.argsort(data, axis=0, kind="stable").T.astype("<i2").tobytes()
+
+    # rows alike in id and vector ask the same question
+    pairs = tile_pairs(packed(whole(queries).distinct(), QUERY_ROWS, "search-queries"), packed(whole(vectors), TILE_ROWS, "search-blocks", data=with_lists), ordered=False)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 dims = row["dims"]
-                data = np.frombuffer(row["data_b"], "<f8").reshape(-1, dims)
                 ids = np.frombuffer(row["ids_b"], "<i8")
-                order = np.ascontiguousarray(np.argsort(data, axis=0, kind="stable").T)
-                found = [(own, *hit) for own, query in zip(np.frombuffer(row["ids_a"], "<i8").tolist(), np.frombuffer(row["data_a"], "<f8").reshape(-1, dims)) for hit in threshold_search(data, ids, order, query, own, k)]
+                data = np.frombuffer(row["data_b"], "<f8", len(ids) * dims).reshape(-1, dims)
+                order = np.frombuffer(row["data_b"], "<i2", len(ids) * dims, len(ids) * dims * 8).reshape(dims, -1)
+                found = [(own, key, *hit) for own, key, query in _asked(row) for hit in threshold_search(data, ids, order, query, own, k)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "score", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "query_key", "score", "id"])
 
-    found = pairs.mapInArrow(search, "query_id long, score long, id long")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    found = pairs.mapInArrow(search, "query_id long, query_key long, score long, id long")
+    by_score = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), F.asc("id"))
     return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

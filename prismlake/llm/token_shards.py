@@ -79,7 +79,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder
             yield done()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    encoded = stored(rows.mapInArrow(encode, "id long, ids binary").withColumn("draw", F.xxhash64("ids")), "token-ids")
+    encoded = stored(rows.mapInArrow(encode, "id long, ids binary").withColumn("draw", F.xxhash64("ids")), "token-ids", compression="zstd")
     # equal ids may fill several partitions, in the order of the draw
     ordered = encoded.repartitionByRange("id", "draw").sortWithinPartitions("id", "draw", "ids").select("id", "ids")
     return stored(ordered.mapInArrow(write, _MANIFEST), "token-manifest")

@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import row_hash
 from ..scratch import scratch_path, shared_dir, stored
 
-__all__ = ["file_system", "free_name", "id_remainder", "row_hash", "scratch_path", "shared_dir", "stored", "table"]
+__all__ = ["file_system", "free_name", "id_remainder", "row_hash", "scratch_path", "shared_dir", "stored", "table", "text_batches"]
+
+
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch: they hold whole texts, so Spark's 10,000 would be tens of megabytes in each worker.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold ``BATCH_ROWS`` rows, unless the session has its own number."""
+    if spark.conf.get(_ROWS_KEY) == "10000":
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -114,17 +114,17 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     name; repeated rows get the same answer each. All columns of ``docs`` are kept, except that
     columns named ``pred_col`` or ``score_col`` are replaced.
     """
-    width = len(docs.columns)
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)], F.col(f"`{text_col}`").alias("_body"), F.lit(UNKNOWN).alias("_lang_pred"), F.lit(None).cast("double").alias("_best"), F.lit(0.0).alias("_mass"))
+    width, text_at = len(docs.columns), docs.columns.index(text_col)
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)], F.lit(UNKNOWN).alias("_lang_pred"), F.lit(None).cast("double").alias("_best"), F.lit(0.0).alias("_mass"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
 
     def classify(shared: Broadcast):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
-                names, best, mass = (batch.column(width + k).to_pylist() for k in (1, 2, 3))
+                names, best, mass = (batch.column(width + k).to_pylist() for k in range(3))
                 at = 0
-                for part in byte_batches(batch.column(width)):
+                for part in byte_batches(batch.column(text_at)):
                     texts = [(at + k, text) for k, text in enumerate(part.to_pylist()) if text is not None and has_letter(text)]
                     at += len(part)
                     if not texts:
@@ -139,7 +139,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
                             names[k], best[k] = block.languages[top], most
                         else:
                             mass[k] += float(np.exp(row - before).sum())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: width + 1], pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(mass, pa.float64())], names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(mass, pa.float64())], names=batch.schema.names)
 
         return of
 

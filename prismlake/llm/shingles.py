@@ -21,7 +21,7 @@ class _WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 150_000:
             self[word] = value
         return value
 

@@ -146,13 +146,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         known = shared.value
         for batch in batches:
             scores = []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(text_at):
                 at = known.place[gram_slots((value.as_py() or "").lower(), SIZES, BITS)]
                 at = np.unique(at[at >= 0])
                 scores.append(float(1 / (1 + np.exp(-np.clip(known.weight[at].sum() + known.bias, -35, 35)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
 
+    text_at = docs.columns.index(text_col)
     kept = ", ".join(f"`_{k}` {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)], F.col(f"`{text_col}`").alias("_body"))
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)])
     out = slim.mapInArrow(score, f"{kept}{', ' if kept else ''}_score double")
     return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() != score_col.lower()], F.col("_score").alias(score_col))

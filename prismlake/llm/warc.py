@@ -38,20 +38,31 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES, id_co
 
 
 def chunk_table(planned: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(record, n, last, ..., chunk): payloads cut into rows; a revisit has one empty chunk."""
-    body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    cut = planned.withColumn("body", body).withColumn("record", F.concat_ws("-", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "digest", F.monotonically_increasing_id().cast("string")))
+    """(record, n, last, ..., chunk): payloads cut into rows; a revisit has one empty chunk.
+
+    ``record`` names page and payload and stays the same over retries; rows alike in both share it.
+    """
+    record = F.concat_ws("-", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "digest")
+    cut = planned.withColumn("body", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))).withColumn("record", record)
     pieces = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk_bytes).cast("int"))
-    rows = cut.withColumn("pieces", pieces).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return rows.select("record", "n", (F.col("n") == F.col("pieces") - 1).alias("last"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), "payload_bytes", "digest", "refers_to", F.substring("body", F.col("n") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))
+    # the chunks are exploded, not the row with its body
+    chunks = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda n: F.substring("body", n * chunk_bytes + 1, F.lit(chunk_bytes)))
+    rows = cut.withColumn("pieces", pieces).select("record", "pieces", F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), "payload_bytes", "digest", "refers_to", F.posexplode(chunks).alias("n", "chunk"))
+    return rows.select("record", "n", (F.col("n") == F.col("pieces") - 1).alias("last"), "page_id", "url", "payload_bytes", "digest", "refers_to", "chunk")
+
+
+def _record_id(record: str) -> str:
+    return _RECORD_ID % uuid.uuid5(uuid.NAMESPACE_URL, record)
 
 
 def _head(row: dict) -> bytes:
+    """The header lines of a record and, of a response, those of the HTTP message that holds the payload."""
     revisit = row["refers_to"] is not None
+    message = b"" if revisit else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        "WARC-Record-ID: " + _RECORD_ID % uuid.uuid5(uuid.NAMESPACE_URL, row["record"]),
+        "WARC-Record-ID: " + _record_id(row["record"]),
         f"WARC-Target-URI: {(row['url'] or 'about:blank').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{row['digest']}",
@@ -59,9 +70,9 @@ def _head(row: dict) -> bytes:
         f"X-Payload-Length: {row['payload_bytes']}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {row['refers_to']}"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else row['payload_bytes']}"]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode()
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To: " + _record_id(f"{row['refers_to']}-{row['digest']}"), f"X-Refers-To-Page-ID: {row['refers_to']}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(message) + (0 if revisit else row['payload_bytes'])}"]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + message
 
 
 def write_archives(chunks: DataFrame, folder: str | None = None) -> DataFrame:
@@ -125,7 +136,10 @@ class _Members:
 
 
 def read_records(source) -> Iterator[dict]:
-    """Records of an open archive: headers, and size and digest of the body as it streams by."""
+    """Records of an open archive: headers, and size and digest of the payload as it streams by.
+
+    The payload is what follows the HTTP header in a response; a revisit has none.
+    """
     plain, held = _Members(source), b""
     while True:
         while b"\r\n\r\n" not in held:
@@ -138,6 +152,15 @@ def read_records(source) -> Iterator[dict]:
         head, held = held.split(b"\r\n\r\n", 1)
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         left, digest = int(fields["Content-Length"]), hashlib.sha1()
+        if fields["WARC-Type"] == "response":
+            while b"\r\n\r\n" not in held:
+                more = plain.pull()
+                if not more:
+                    raise ValueError("archive ends inside a record")
+                held += more
+            message, held = held.split(b"\r\n\r\n", 1)
+            left -= len(message) + 4
+        size = left
         while left:
             if not held:
                 held = plain.pull()
@@ -149,7 +172,7 @@ def read_records(source) -> Iterator[dict]:
         while len(held) < 4:
             held += plain.pull()
         held = held[4:]
-        yield fields | {"digest": digest.hexdigest()}
+        yield fields | {"digest": digest.hexdigest(), "size": size}
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -168,7 +191,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 with system.open_input_stream(place, compression=None) as source:
                     for r in read_records(source):
                         body = r["WARC-Type"] == "response"
-                        values = (int(r["X-Page-ID"]) if r["X-Page-ID"] else None, int(r["Content-Length" if body else "X-Payload-Length"]), r["digest"] if body else r["WARC-Payload-Digest"][5:], r["WARC-Type"], None if body else int(r["X-Refers-To-Page-ID"]))
+                        values = (int(r["X-Page-ID"]) if r["X-Page-ID"] else None, r["size"] if body else int(r["X-Payload-Length"]), r["digest"] if body else r["WARC-Payload-Digest"][5:], r["WARC-Type"], None if body else int(r["X-Refers-To-Page-ID"]))
                         held.append(dict(zip(names, values)))
                         if len(held) == 4096:
                             yield pa.RecordBatch.from_pylist(held, schema=schema)
@@ -183,8 +206,10 @@ def read_archives(files: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write every row of ``pages`` (page_id, url, html) as a WARC record and read the archives back.
 
-    Null payloads are empty and null urls become about:blank; null ids come back null; an empty
-    table gives no records. Columns besides page_id, url and html are ignored.
+    Null payloads are empty and null urls become about:blank; null ids come back null; rows that
+    repeat are each a record; of equal payloads the largest id is stored, so there are no ties; very
+    long payloads pass in chunks; an empty table gives no records. Columns besides page_id, url and
+    html are ignored, whatever their names.
     """
     slim = pages.select("page_id", "url", "html")
     return read_archives(write_archives(chunk_table(plan_records(slim))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm.bpe import bpe_digests
-from prismlake.llm.common import free_name, id_remainder, row_hash, stored, table
+from prismlake.llm.common import free_name, id_remainder, row_hash, stored, table, text_batches
 from prismlake.llm.langid import UNKNOWN, fit_languages, predict_languages
 from prismlake.llm.minhash import near_duplicates
 from prismlake.llm.mixing import emit, mix
@@ -25,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels of both kinds, the score is the same for all. Other columns are kept, whatever their names.
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(F.coalesce(id_remainder("doc_id", 3) != 1, F.lit(False)))
+    text_batches(spark)
     model = fit_toxicity(docs.select("doc_id", "text"), labels)
     score = free_name(docs.columns, "toxicity")
     return score_toxicity(docs, model, score_col=score).filter(F.col(score) < TOXIC_AT).select(*docs.columns)
@@ -37,6 +38,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     texts of any length count whole; null ids are judged but not learned from; other columns are
     kept, whatever their names.
     """
+    text_batches(spark)
     learned = docs.filter(F.coalesce(id_remainder("doc_id", 4) != 2, F.lit(False)))
     lang = free_name(docs.columns, "predicted_language")
     score = free_name([*docs.columns, lang], "language_score")
@@ -51,6 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     agree. Null ids, and null and empty texts, are alike to nothing and stay. Other columns are
     kept, whatever their names.
     """
+    text_batches(spark)
     draw = free_name(docs.columns, "draw")
     rows = docs.withColumn(draw, row_hash(docs))
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
@@ -72,6 +75,7 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Token count, ids digest and decoded digest of each row; repeated rows give repeated results, null texts count as empty."""
     import public_tokenizers
 
+    text_batches(spark)
     return bpe_digests(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

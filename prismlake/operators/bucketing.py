@@ -50,8 +50,12 @@ def drop_missing(df: DataFrame, family: str) -> DataFrame:
 
 
 def level_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(level, column, n): exact distinct counts, levels numbered as listed."""
-    counted = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in columns])
+    """(level, column, n): exact distinct counts, levels numbered as listed.
+
+    Levels nest, so rows are first folded to the distinct values of all levels together, of which there
+    are as many as of the finest; only these are spread over the levels.
+    """
+    counted = df.select(*[F.col(f"`{c}`") for c in columns]).distinct().agg(*[F.count_distinct(F.col(c)).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("n")) for k, c in enumerate(columns)])
     return counted.select(F.inline(rows))
 
@@ -109,13 +113,15 @@ def grouped_bucketed_projection(df: DataFrame, groups: list[str], candidates: li
     """Each group by itself: raw rows if they fit, else buckets of the first candidate that fits, else of the last.
 
     Adds ``group_name``, ``bucket_column`` (null for raw groups) and COUNT (null for raw groups).
-    A null in a candidate column is an error. Levels are chosen in one aggregate over all groups.
+    A null in a candidate column is an error. Levels are chosen in one aggregate over all groups, of
+    rows that are first folded by all candidates together.
     """
     named = df.withColumn("group_name", group_name(groups))
     missing = F.lit(0)
     for c in candidates:
         missing = missing + F.count_if(F.col(c).isNull())
-    sizes = named.groupBy("group_name").agg(F.count("*").alias("_rows"), missing.alias("_missing"), *[F.count_distinct(c).alias(f"_n_{c}") for c in candidates])
+    folded = named.groupBy("group_name", *candidates).agg(F.count("*").alias("_same"))
+    sizes = folded.groupBy("group_name").agg(F.sum("_same").alias("_rows"), missing.alias("_missing"), *[F.count_distinct(c).alias(f"_n_{c}") for c in candidates])
     level = F.when(F.col("_rows") <= max_entries, F.lit(None).cast("string"))
     for c in candidates:
         level = level.when(F.col(f"_n_{c}") <= max_entries, F.lit(c))

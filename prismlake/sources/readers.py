@@ -14,14 +14,26 @@ _GPX = f"trk array<struct<trkseg:array<struct<trkpt:{_POINT}>>>>, wpt {_POINT},
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One object a line; a bad line is an error. Missing core columns are null, times parsed, rows checked and numbered."""
-    inferred = spark.read.json(path, mode="FAILFAST").schema
+    """One object a line; a bad line is an error that shows it and its place. Missing core columns are null, times parsed, rows checked and numbered."""
+    try:
+        inferred = spark.read.json(path, mode="FAILFAST").schema
+    except Exception as failed:
+        raise ValueError("; ".join(_bad_lines(spark, path)) or str(failed)) from failed
     core = {f.name: f for f in CORE}
     # core columns are read in their own types, times as text; other columns as they are found
     fields = [T.StructField(f.name, T.StringType() if isinstance(core[f.name].dataType, T.TimestampType) else core[f.name].dataType) if f.name in core else f for f in inferred.fields]
     return assign_df_id(validate(normalize(spark.read.schema(T.StructType(fields)).json(path, mode="FAILFAST"))))
 
 
+def _bad_lines(spark: SparkSession, path: str, most: int = 5) -> list[str]:
+    """The first lines that are no JSON object: file, line number within it, and their beginning."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    bad = lines.filter((F.trim("value") != "") & (F.try_parse_json("value").isNull() | ~F.schema_of_variant(F.coalesce(F.try_parse_json("value"), F.parse_json(F.lit("1")))).startswith("OBJECT")))
+    found = bad.orderBy("at").limit(most).collect()
+    starts = {(r["file"], r["block"]): r["first"] for r in lines.groupBy("file", "block").agg(F.min("at").alias("first")).collect()} if found else {}
+    return [f"line {r['at'] - starts[r['file'], r['block']] + 1}{'' if not r['block'] else f' from byte {r["block"]}'} of {r['file']}: {r['value'][:80]}" for r in found]
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A whole Parquet table with the core columns, coordinates clamped; not checked."""
     return clip_coordinates(normalize(spark.read.parquet(path)))

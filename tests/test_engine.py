@@ -131,6 +131,9 @@ def test_read_jsonl_numbers_rows(spark, tmp_path):
     rows = read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()
     assert sorted(r.df_id for r in rows) == list(range(7)) and {r.extra for r in rows} == set(range(7))
     assert rows[0].TIMESTAMP_UTC == dt.datetime(2024, 1, 1, 10)
+    (tmp_path / "b.jsonl").write_text('{"UUID_STRING": "a", "DATA_TYPE": "PHOTO"}\n{"UUID_STRING": "b"\n')
+    with pytest.raises(ValueError, match="line 2 of .*b.jsonl"):
+        read_jsonl(spark, str(tmp_path / "b.jsonl"))
 
 
 def test_scalars(spark):

@@ -1,17 +1,19 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from prismlake.functions.scalars import build_path, classify_media, parse_utc
 from prismlake.operators import bucketing as B
 from prismlake.operators import selection as X
+from prismlake.operators.embeddings import image_stats, project_to_sphere
 from prismlake.operators.frames import map_view
 from prismlake.operators.schema import assign_df_id, clip_coordinates, validate_identifier
 from prismlake.plans.session import LinkedSession
 from prismlake.sources.catalog import catalog_collections
-from prismlake.sources.readers import ingest_tracks, read_gpx, read_jsonl, read_takeout
+from prismlake.sources.readers import ingest_tracks, read_gpx, read_jsonl, read_takeout, scan_images
 from prismlake.sources.sinks import merged, upsert
 
 
@@ -145,6 +147,33 @@ def test_scalars(spark):
     assert [r.m for r in spark.createDataFrame([("ts",), ("DV",), ("vob",), ("mpeg",)], "f string").select(classify_media(F.col("f")).alias("m")).collect()] == ["VIDEO", "VIDEO", "VIDEO", "PHOTO"]
 
 
+def test_sphere_projection_equals_numpy(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 6)) * [3, 2, 1.5, 0.4, 0.3, 0.2] + [1, 0, 0, 0, 0, 0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(60, None)]
+    got = {r.i: (r.SEMANTIC_EMBEDDING_UMAP_LATITUDE, r.SEMANTIC_EMBEDDING_UMAP_LONGITUDE) for r in project_to_sphere(spark.createDataFrame(rows, "i int, SEMANTIC_EMBEDDING array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    axes = np.linalg.eigh(np.cov(unit.T))[1][:, ::-1][:, :3]
+    assert got[60] == (None, None)
+    errors = []
+    for signs in np.array(np.meshgrid(*[[-1, 1]] * 3)).reshape(3, -1).T:  # components have no sign of their own
+        p = unit @ (axes * signs)
+        p /= np.linalg.norm(p, axis=1)[:, None]
+        lat, lon = np.degrees(np.arcsin(p[:, 2])), np.degrees(np.arctan2(p[:, 0], p[:, 1]))
+        errors.append(max(max(abs(got[i][0] - lat[i]), abs((got[i][1] - lon[i] + 180) % 360 - 180)) for i in range(60)))
+    assert min(errors) < 1e-4
+    assert project_to_sphere(spark.createDataFrame([(1, [1.0, 2.0])], "i int, SEMANTIC_EMBEDDING array<double>")).first()[2:] == (0.0, 0.0)
+
+
+def test_images(spark, tmp_path):
+    for name in ("a/u1.jpg", "b/u1.jpg", "b/u2.jpg", "b/u3.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    assert {r.UUID_STRING: r.path.rsplit("/", 2)[1] for r in scan_images(spark, str(tmp_path)).collect()} == {"u1": "a", "u2": "b"}
+    pixels = [{"height": 1, "width": 2, "nChannels": 3, "data": bytes([0, 0, 255, 0, 0, 255])}, None, {"height": 9, "width": 9, "nChannels": 3, "data": b"short"}]
+    assert image_stats(pixels) == [[1.0, 0.0, 0.0, 0.0, 0.0, 0.0], None, None]
+
+
 def test_queries_and_sql_name_the_same():
     import __spark_entry__ as entry
 

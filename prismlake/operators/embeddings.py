@@ -41,6 +41,24 @@ def embed_incremental(items: DataFrame, known: DataFrame, column: str, embedder:
     return embed(missing_embeddings(items, known, recompute), column, embedder)
 
 
+def embed_into(items: DataFrame, path: str, column: str, embedder: Callable[[list], list], recompute: bool = False) -> int:
+    """Embed the items that the Parquet table at ``path`` lacks and merge them in by UUID; returns how many.
+
+    Items that cannot be read are left for the next run; if none of them can, that is an error.
+    """
+    from ..sources.sinks import exists, upsert
+
+    spark = items.sparkSession
+    known = spark.read.parquet(path) if exists(spark, path) else items.limit(0)
+    found = stored(embed_incremental(items, known, column, embedder, recompute), "embedded")
+    tried, read = found.agg(F.count("*"), F.count("SEMANTIC_EMBEDDING")).first()
+    if tried and not read:
+        raise ValueError(f"none of {tried} items could be read")
+    if read:
+        upsert(found.filter("SEMANTIC_EMBEDDING is not null"), path, "UUID_STRING")
+    return read
+
+
 def image_stats(pixels: list) -> list:
     """Mean and deviation of red, green and blue over 0..1, of unit length; None for what is not an image."""
     out = []

@@ -35,10 +35,21 @@ def pick(buckets: DataFrame, ids: list[int], id_col: str = "df_id") -> DataFrame
     return picked
 
 
-def filter_to_buckets(base: DataFrame, picked: DataFrame, target: str, group: str | None = None) -> DataFrame:
-    """All base rows in the picked buckets; no buckets, no rows."""
+def filter_to_buckets(base: DataFrame, picked: DataFrame, target: str, group: str | None = None, checked: bool = False) -> DataFrame:
+    """All base rows in the picked buckets; no buckets, no rows.
+
+    With ``checked`` it is an error if a bucket is picked twice, or if the rows are not as many as the
+    picked buckets count, as when they come from another subset; this runs two counting jobs.
+    """
     keys, on = _keys(picked, base, target, group)
-    return base.join(keys, on, "left_semi")
+    kept = base.join(keys, on, "left_semi")
+    if checked:
+        buckets, rows = picked.agg(F.count("*"), F.coalesce(F.sum("COUNT"), F.lit(0))).first()
+        if buckets != keys.count():
+            raise ValueError("a bucket is picked twice")
+        if rows != (n := kept.count()):
+            raise ValueError(f"the picked buckets count {rows} rows, the base has {n}")
+    return kept
 
 
 def subtract_buckets(base: DataFrame, picked: DataFrame, target: str, group: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prismlake.functions.scalars import build_path, classify_media, parse_utc
 from prismlake.operators import bucketing as B
 from prismlake.operators import selection as X
-from prismlake.operators.embeddings import image_stats, project_to_sphere
+from prismlake.operators.embeddings import embed_into, image_stats, project_to_sphere
 from prismlake.operators.frames import map_view
 from prismlake.operators.schema import assign_df_id, clip_coordinates, validate_identifier
 from prismlake.plans.session import LinkedSession
@@ -30,6 +30,11 @@ def test_bucket_and_select_are_inverse(places):
     kept = {r.df_id for r in X.filter_to_buckets(places, picked, "category", "DATA_TYPE").collect()}
     gone = {r.df_id for r in X.subtract_buckets(places, picked, "category", "DATA_TYPE").collect()}
     assert kept == {1, 2, 4, 5} and gone == {0, 3}
+    assert X.filter_to_buckets(places, picked, "category", "DATA_TYPE", checked=True).count() == 4
+    with pytest.raises(ValueError, match="count 4 rows, the base has 3"):
+        X.filter_to_buckets(places.filter("df_id < 5"), picked, "category", "DATA_TYPE", checked=True)
+    with pytest.raises(ValueError, match="twice"):
+        X.filter_to_buckets(places, picked.union(picked), "category", "DATA_TYPE", checked=True)
     with pytest.raises(KeyError):
         X.pick(buckets, [99])
     with pytest.raises(KeyError):
@@ -165,6 +170,17 @@ def test_sphere_projection_equals_numpy(spark):
     assert project_to_sphere(spark.createDataFrame([(1, [1.0, 2.0])], "i int, SEMANTIC_EMBEDDING array<double>")).first()[2:] == (0.0, 0.0)
 
 
+def test_embedding_job_adds_what_is_missing(spark, tmp_path):
+    path, items = str(tmp_path / "e"), spark.createDataFrame([("a", "xx"), ("b", None), ("c", "x")], "UUID_STRING string, body string")
+    lengths = lambda texts: [None if t is None else [float(len(t))] for t in texts]
+    assert embed_into(items, path, "body", lengths) == 2
+    with pytest.raises(ValueError, match="none of 1"):
+        embed_into(items, path, "body", lengths)
+    more = items.union(spark.createDataFrame([("d", "xxx")], items.schema))
+    assert embed_into(more, path, "body", lengths) == 1
+    assert {r.UUID_STRING: r.SEMANTIC_EMBEDDING for r in spark.read.parquet(path).collect()} == {"a": [2.0], "c": [1.0], "d": [3.0]}
+
+
 def test_images(spark, tmp_path):
     for name in ("a/u1.jpg", "b/u1.jpg", "b/u2.jpg", "b/u3.png"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

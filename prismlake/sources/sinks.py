@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.schema import validate_identifier
+from ..scratch import stored
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -30,8 +31,7 @@ def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
 def merged(old: DataFrame | None, new: DataFrame, key: str, order: str | None = None, mode: str = "replace") -> DataFrame:
     """Rows of both by key: the new row wins whole; of several new rows the last by ``order``.
 
-    Without ``order`` a later row of the frame wins, as its partitions are numbered; equal places
-    can't occur, so the choice is the same whenever the frame is. Columns of either side are kept;
+    Without ``order``, and where it ties, a later row of the frame wins, as its partitions are numbered. Columns of either side are kept;
     those a new row lacks become null, or with ``mode="patch"`` keep the old value. Keys are joined and
     aggregated by hash; no window holds a key's rows together.
     """
@@ -40,7 +40,8 @@ def merged(old: DataFrame | None, new: DataFrame, key: str, order: str | None =
     for c in new.columns:
         validate_identifier(c)
     names = new.columns
-    placed = new.withColumn("_place", F.struct(*([F.col(order)] if order else []), F.monotonically_increasing_id()))
+    # written, so that places are the same where they are aggregated and where they are joined
+    placed = stored(new.withColumn("_place", F.struct(*([F.col(order)] if order else []), F.monotonically_increasing_id())), "merge-new")
     last = placed.groupBy(F.col(key).alias("_key")).agg(F.max("_place").alias("_last"))
     new = placed.join(last, (F.col(key) == F.col("_key")) & (F.col("_place") == F.col("_last"))).select(*names)
     if old is None:

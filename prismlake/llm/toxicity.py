@@ -37,8 +37,9 @@ def _features(text: str) -> np.ndarray:
 def _logistic(ends: np.ndarray, places: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
     """Ridge weights and a free bias by a few Newton steps, each solved by conjugate gradients.
 
-    Row k of the sparse matrix holds ``scale`` at ``places[ends[k] : ends[k + 1]]``. The steps end when
-    they no longer move the log odds of any row.
+    Row k of the sparse matrix holds ``scale`` at ``places[ends[k] : ends[k + 1]]``. A step is halved
+    until it lowers the loss, which is convex, so no step can lead away. The steps end when they no
+    longer move the log odds of any row.
     """
     row, value, m = np.repeat(np.arange(len(y)), np.diff(ends)), scale[places], len(scale)
     penalty = np.r_[np.full(m, ridge), 1e-6]
@@ -49,8 +50,12 @@ def _logistic(ends: np.ndarray, places: np.ndarray, scale: np.ndarray, y: np.nda
     def back(g: np.ndarray) -> np.ndarray:
         return np.r_[np.bincount(places, value * g[row], m), g.sum()]
 
+    def loss(w: np.ndarray) -> float:
+        odds = times(w)
+        return float((np.logaddexp(0, odds) - y * odds).sum() + (penalty * w * w).sum() / 2)
+
     w = np.zeros(m + 1)
-    for _ in range(14):
+    for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(times(w), -35, 35)))
         curve = np.maximum(p * (1 - p), 1e-9)
         gradient = back(p - y) + penalty * w
@@ -66,8 +71,11 @@ def _logistic(ends: np.ndarray, places: np.ndarray, scale: np.ndarray, y: np.nda
             if size < 1e-6 * (gradient @ (gradient / diagonal)):
                 break
             along = left / diagonal + size / before * along
-        w += step
-        if np.abs(times(step)).max() < 1e-2:
+        now, part, slope = loss(w), 1.0, float(gradient @ step)
+        while loss(w + part * step) > now + 1e-4 * part * slope and part > 1e-6:
+            part /= 2
+        w += part * step
+        if np.abs(times(part * step)).max() < 1e-2:
             break
     return w[:m], float(w[m])
 

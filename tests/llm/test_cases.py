@@ -171,3 +171,16 @@ def test_pages_that_repeat(spark):
     rows = [(4, "u", body), (4, "u", body), (2, "v", body), (None, "w", body), (5, None, "s" * 999)]
     got = Counter((r.page_id, r.record_type, r.refers_to) for r in archive_round_trip(spark.createDataFrame([(i, u, t, "x") for i, u, t in rows], "page_id long, url string, html string, payload_digest string")).collect())
     assert got[(2, "revisit", 4)] == 1 and got[(5, "response", None)] == 1 and sum(got.values()) == len(rows) and got[(4, "response", None)] >= 1
+
+
+def test_fit_never_leads_away():
+    """Newton steps of a separable, badly scaled problem still end in weights that tell the labels apart."""
+    rng = np.random.default_rng(14)
+    y = (np.arange(600) % 10 == 0).astype(float)
+    rows = [np.unique(np.r_[rng.integers(0, 40, 6), np.arange(40, 160) if label else rng.integers(160, 4000, 300)]) for label in y]
+    ends, places = np.cumsum([0, *map(len, rows)]), np.concatenate(rows)
+    for seed in range(4):
+        scale = np.random.default_rng(seed).normal(scale=6, size=4000)
+        weight, bias = toxicity._logistic(ends, places, scale, y, toxicity.RIDGE)
+        odds = np.array([(weight[r] * scale[r]).sum() + bias for r in rows])
+        assert ((odds > 0) == (y == 1)).all()

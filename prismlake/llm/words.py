@@ -10,8 +10,9 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 PIECE_BYTES = 1 << 20
 
 
-def word_lists(text: str | None, overlap: int = 0, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[list[bytes], int]]:
+def word_lists(text: str | None, overlap: int = 0, piece_bytes: int | None = None) -> Iterator[tuple[list[bytes], int]]:
     """The words of a whole text in lists, each after the last ``overlap`` words before it: (words, how many of them are repeats)."""
+    piece_bytes = piece_bytes or PIECE_BYTES
     data, at, carry = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD), 0, []
     while at < len(data):
         end = len(data)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import e7_to_degrees, iso_utc, parse_utc, plain_double, point_uuid, uuid_text
 from ..operators.schema import CORE, assign_df_id, clip_coordinates, normalize, validate
+from .json_array import json_array_entries
 
 _POINT = "array<struct<_lat:double,_lon:double,time:string,name:string,cmt:string,desc:string>>"
 _GPX = f"trk array<struct<trkseg:array<struct<trkpt:{_POINT}>>>>, wpt {_POINT}, _corrupt string"
@@ -84,19 +85,18 @@ def read_gpx(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def read_takeout(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(points, quarantine) of ``Records.json`` files: one row a valid location; files that are not valid JSON or hold no ``locations`` array.
 
-    One bad file does not keep the others from being read.
+    A file of any size is read by many tasks, each of which cuts its share of the array at the entries'
+    own braces; one bad file does not keep the others from being read.
     """
-    raw = spark.read.schema("locations variant, _corrupt string").option("recursiveFileLookup", "true").option("pathGlobFilter", "Records.json").option("columnNameOfCorruptRecord", "_corrupt").json(folder, multiLine=True)
-    files = raw.select(F.col("_metadata.file_path").alias("SOURCE_FILE"), F.expr("try_variant_get(locations, '$', 'array<variant>')").alias("found"))
-    entries = files.filter("found is not null").select("SOURCE_FILE", F.explode("found").alias("e"))
-    bad = files.filter("found is null").select("SOURCE_FILE").distinct()
+    found, bad = json_array_entries(spark, folder, "Records.json", "locations")
+    entries = found.select(F.col("file").alias("SOURCE_FILE"), F.try_parse_json("entry").alias("e"))
 
     def field(name: str, kind: str):
         return F.expr(f"try_variant_get(e, '$.{name}', '{kind}')")
 
     points = entries.select("SOURCE_FILE", F.lit("GOOGLE_TAKEOUT_LOCATION").alias("DATA_TYPE"), field("timestamp", "string").alias("TIMESTAMP_MAYBE_TIMEZONE_AWARE"), parse_utc(field("timestamp", "string")).alias("TIMESTAMP_UTC"), e7_to_degrees(field("latitudeE7", "bigint")).alias("GPS_LATITUDE"), e7_to_degrees(field("longitudeE7", "bigint")).alias("GPS_LONGITUDE"))
     usable = points.filter(F.col("TIMESTAMP_UTC").isNotNull() & F.col("GPS_LATITUDE").between(-90, 90) & F.col("GPS_LONGITUDE").between(-180, 180))
-    return _with_ids(usable), bad
+    return _with_ids(usable), bad.select(F.col("file").alias("SOURCE_FILE"))
 
 
 def read_embeddings(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -11,15 +11,18 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import dot, l2_normalize
 from ..functions.spatial import sphere_to_latlon
-from ..scratch import stored
+from ..scratch import scratch_path, stored
 from .blocks import is_usable, tile_pairs
 from .schema import SEMANTIC_LAT, SEMANTIC_LON
 
 #: Vectors in a block.
 QUERY_ROWS, ITEM_ROWS = 256, 4096
+#: Parts of an embedding job, each committed by itself.
+RANGES = 8
 
 
 def missing_embeddings(items: DataFrame, known: DataFrame, recompute: bool = False) -> DataFrame:
@@ -41,21 +44,35 @@ def embed_incremental(items: DataFrame, known: DataFrame, column: str, embedder:
     return embed(missing_embeddings(items, known, recompute), column, embedder)
 
 
-def embed_into(items: DataFrame, path: str, column: str, embedder: Callable[[list], list], recompute: bool = False) -> int:
-    """Embed the items that the Parquet table at ``path`` lacks and merge them in by UUID; returns how many.
+def embed_into(items: DataFrame, path: str, column: str, embedder: Callable[[list], list], recompute: bool = False, ranges: int = RANGES) -> int:
+    """Embed the items that the keyed table at ``path`` lacks and merge them in by UUID; returns how many.
 
-    Items that cannot be read are left for the next run; if none of them can, that is an error.
+    Missing items are written once, in ``ranges`` parts by the table's buckets, and each part is
+    embedded and committed by itself: a job that dies loses the part at hand, and the next run finds
+    the finished ones in the table. Items that cannot be read are left for the next run; if none of them
+    can, that is an error.
     """
-    from ..sources.sinks import exists, upsert
+    from ..sources.keyed_table import BUCKETS, bucket_of, layout_of, read_keyed, upsert
+    from ..sources.sinks import exists
 
     spark = items.sparkSession
-    known = spark.read.parquet(path) if exists(spark, path) else items.limit(0)
-    found = stored(embed_incremental(items, known, column, embedder, recompute), "embedded")
-    tried, read = found.agg(F.count("*"), F.count("SEMANTIC_EMBEDDING")).first()
+    layout = layout_of(spark, path)
+    buckets = layout["buckets"] if layout else BUCKETS
+    known = read_keyed(spark, path) if exists(spark, path) else items.limit(0)
+    todo = scratch_path(spark, "to-embed")
+    # a bucket belongs to one part, so it is written again once
+    part = F.pmod(bucket_of("UUID_STRING", buckets), F.lit(ranges))
+    missing_embeddings(items, known, recompute).select("UUID_STRING", column, part.alias("_part")).write.partitionBy("_part").parquet(todo)
+    rows = spark.read.schema(T.StructType([*items.select("UUID_STRING", column).schema, T.StructField("_part", T.IntegerType())])).parquet(todo)
+    tried = read = 0
+    for n in range(ranges):
+        found = stored(embed(rows.filter(F.col("_part") == n), column, embedder), "embedded")
+        some, good = found.agg(F.count("*"), F.count("SEMANTIC_EMBEDDING")).first()
+        tried, read = tried + some, read + good
+        if good:
+            upsert(found.filter("SEMANTIC_EMBEDDING is not null"), path, "UUID_STRING", buckets=buckets)
     if tried and not read:
         raise ValueError(f"none of {tried} items could be read")
-    if read:
-        upsert(found.filter("SEMANTIC_EMBEDDING is not null"), path, "UUID_STRING")
     return read
 
 

@@ -18,7 +18,8 @@ from ..operators.schema import SEMANTIC_LAT, SEMANTIC_LON, TIME_LEVELS, bucket_c
 from ..scratch import scratch_path
 from ..sources import catalog as C
 from ..sources import readers as R
-from ..sources.sinks import merged, upsert
+from ..sources.keyed_table import read_keyed, upsert
+from ..sources.sinks import merged
 from ..streaming.ingest import stream_ingest
 from .session import LinkedSession
 
@@ -168,13 +169,6 @@ def geo_view(spark, sf_dir):
     return v.select("points", F.round("center_lat", 4).alias("center_lat"), F.round("center_lon", 4).alias("center_lon"), F.round(F.col("radius_m") / 1000, 2).alias("radius_km"), "zoom")
 
 
-# the same view, under its earlier name
-@_query(ORACLES["geo_view"])
-def geo_view_all(spark, sf_dir):
-    v = V.map_view(_events(spark, sf_dir))
-    return v.select("points", F.round("center_lat", 4).alias("center_lat"), F.round("center_lon", 4).alias("center_lon"), F.round(F.col("radius_m") / 1000, 2).alias("radius_km"), "zoom")
-
-
 @_query("""WITH o AS (SELECT o_orderkey, o_orderpriority AS g, date_trunc('day', o_orderdate) AS d, date_trunc('month', o_orderdate) AS m, date_trunc('year', o_orderdate) AS y FROM orders),
     s AS (SELECT g, count(*) AS n, count(DISTINCT d) AS nd, count(DISTINCT m) AS nm, count(DISTINCT y) AS ny FROM o GROUP BY g),
     l AS (SELECT g, CASE WHEN n <= 100 THEN NULL WHEN nd <= 100 THEN 'day' WHEN nm <= 100 THEN 'month' ELSE 'year' END AS level FROM s)
@@ -478,7 +472,7 @@ def upsert_table(spark, sf_dir):
     path = scratch_path(spark, "upsert")
     upsert(o, path, "o_orderkey")
     upsert(o.filter("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("new").alias("note")), path, "o_orderkey")
-    return spark.read.parquet(path)
+    return read_keyed(spark, path)
 
 
 @_query("SELECT CAST(event_id AS VARCHAR) AS uuid, date_trunc('second', ts)::TIMESTAMP AS utc, date_trunc('hour', ts)::TIMESTAMP AS hour_start FROM events")
@@ -487,7 +481,7 @@ def stream_of_files(spark, sf_dir):
     source, target, state = (scratch_path(spark, f"stream-{k}") for k in ("source", "target", "state"))
     e.union(e.filter("UUID_STRING % 4 = 0")).write.json(source)
     stream_ingest(spark, source, e.schema, target, state).awaitTermination()
-    return spark.read.parquet(target).select(F.col("UUID_STRING").alias("uuid"), _ntz("TIMESTAMP_UTC").alias("utc"), _ntz("BUCKETED_TIMESTAMP_HOUR").alias("hour_start"))
+    return read_keyed(spark, target).select(F.col("UUID_STRING").alias("uuid"), _ntz("TIMESTAMP_UTC").alias("utc"), _ntz("BUCKETED_TIMESTAMP_HOUR").alias("hour_start"))
 
 
 @_query("SELECT row_number() OVER (ORDER BY event_id) - 1 >= 0 AS numbered, CAST(event_id AS VARCHAR) AS uuid, date_trunc('second', ts)::TIMESTAMP AS utc, CAST(user_id % 6 AS INTEGER) AS rating FROM events")

@@ -1,9 +1,7 @@
-"""Sinks: Parquet, keyed upsert with schema evolution, unique keys."""
+"""Sinks: Parquet, keyed merge with schema evolution, unique keys."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,56 +26,42 @@ def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def last_rows(new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Of the rows of each key the last by ``order``; null is a key too.
+
+    Without ``order``, and where it ties, a later row of the frame wins, as its partitions are
+    numbered. Keys are aggregated and joined by hash; no window holds a key's rows together.
+    """
+    # written, so that places are the same where they are aggregated and where they are joined
+    placed = stored(new.withColumn("_place", F.struct(*([F.col(f"`{order}`")] if order else []), F.monotonically_increasing_id())), "merge-new")
+    last = placed.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max("_place").alias("_last"))
+    return placed.join(last, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_place") == F.col("_last"))).select(*[F.col(f"`{c}`") for c in new.columns])
+
+
 def merged(old: DataFrame | None, new: DataFrame, key: str, order: str | None = None, mode: str = "replace") -> DataFrame:
-    """Rows of both by key: the new row wins whole; of several new rows the last by ``order``.
+    """Rows of both by key: the new row wins whole; of several new rows the last (see ``last_rows``).
 
-    Without ``order``, and where it ties, a later row of the frame wins, as its partitions are numbered. Columns of either side are kept;
-    those a new row lacks become null, or with ``mode="patch"`` keep the old value. Keys are joined and
-    aggregated by hash; no window holds a key's rows together.
+    Columns of either side are kept; those a new row lacks become null, or with ``mode="patch"`` keep
+    the old value. A null key is a key like any other: a new row without a key replaces the old one
+    without a key.
     """
     if not new.columns:
         raise ValueError("the incoming frame has no columns")
     for c in new.columns:
         validate_identifier(c)
-    names = new.columns
-    # written, so that places are the same where they are aggregated and where they are joined
-    placed = stored(new.withColumn("_place", F.struct(*([F.col(order)] if order else []), F.monotonically_increasing_id())), "merge-new")
-    last = placed.groupBy(F.col(key).alias("_key")).agg(F.max("_place").alias("_last"))
-    new = placed.join(last, (F.col(key) == F.col("_key")) & (F.col("_place") == F.col("_last"))).select(*names)
-    if old is None:
-        return new
+    new = last_rows(new, key, order)
+    return new if old is None else _over(old, new, key, mode)
+
+
+def _over(old: DataFrame, new: DataFrame, key: str, mode: str) -> DataFrame:
+    """``old`` with the rows of ``new``, whose keys are unique."""
     if mode == "patch":
-        o = old.select(*[F.col(f"`{c}`").alias(f"_old_{c}") for c in old.columns])
-        both = new.join(o, F.col(key) == F.col(f"_old_{key}"), "full")
+        o = old.select(*[F.col(f"`{c}`").alias(f"_old_{c}") for c in old.columns], F.lit(True).alias("_was"))
+        n = new.withColumn("_is", F.lit(True))
+        both = n.join(o, F.col(key).eqNullSafe(F.col(f"_old_{key}")), "full")
         names = [*old.columns, *[c for c in new.columns if c not in old.columns]]
         pick = [F.coalesce(*([F.col(f"`{c}`")] if c in new.columns else []), *([F.col(f"`_old_{c}`")] if c in old.columns else [])).alias(c) for c in names]
         return both.select(*pick)
-    rest = old.join(new.select(key).distinct(), key, "left_anti")
+    replaced = new.select(F.col(f"`{key}`").alias("_key"))
+    rest = old.join(replaced, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left_anti")
     return rest.unionByName(new, allowMissingColumns=True)
-
-
-def upsert(df: DataFrame, path: str, key: str, order: str | None = None, mode: str = "replace") -> None:
-    """Merge ``df`` into the Parquet table at ``path``; made if absent, new columns added.
-
-    The result is written beside the table and checked there; then the old table is moved aside,
-    the new one moved in, and the old one deleted, so a failure at any point leaves a whole table, at
-    ``path`` or beside it. Writers must not run at the same time.
-    """
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = spark.read.option("mergeSchema", "true").parquet(path) if fs.exists(target) else None
-    if old is not None:
-        assert_unique_key(old, key)
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    merged(old, df, key, order, mode).write.parquet(staged)
-    assert_unique_key(spark.read.parquet(staged), key)
-    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
-    if old is not None and not fs.rename(target, aside):
-        raise OSError(f"could not move {path} aside")
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), target):
-        if old is not None:
-            fs.rename(aside, target)
-        raise OSError(f"could not move {staged} to {path}")
-    if old is not None:
-        fs.delete(aside, True)

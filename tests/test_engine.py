@@ -14,7 +14,8 @@ from prismlake.operators.schema import assign_df_id, clip_coordinates, validate_
 from prismlake.plans.session import LinkedSession
 from prismlake.sources.catalog import catalog_collections
 from prismlake.sources.readers import ingest_tracks, read_gpx, read_jsonl, read_takeout, scan_images
-from prismlake.sources.sinks import merged, upsert
+from prismlake.sources.keyed_table import read_keyed, upsert
+from prismlake.sources.sinks import merged
 
 
 @pytest.fixture(scope="module")
@@ -79,9 +80,9 @@ def test_upsert_replaces_by_key(spark, tmp_path):
     path = str(tmp_path / "t")
     upsert(spark.createDataFrame([(1, 1.1), (2, 2.2)], "k int, v double"), path, "k")
     upsert(spark.createDataFrame([(1, 1.2, "x"), (3, 3.3, "y")], "k int, v double, note string"), path, "k")
-    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 1.2), (2, 2.2), (3, 3.3)]
+    assert sorted((r.k, r.v) for r in read_keyed(spark, path).collect()) == [(1, 1.2), (2, 2.2), (3, 3.3)]
     upsert(spark.createDataFrame([(5, 1.0), (5, 2.0)], "k int, v double").coalesce(1), path, "k")  # the later row wins
-    assert [r.v for r in spark.read.parquet(path).filter("k = 5").collect()] == [2.0]
+    assert [r.v for r in read_keyed(spark, path).filter("k = 5").collect()] == [2.0]
     spark.createDataFrame([(1, 1.0), (1, 2.0)], "k int, v double").write.parquet(str(tmp_path / "twice"))
     with pytest.raises(ValueError):
         upsert(spark.createDataFrame([(5, 1.0)], "k int, v double"), str(tmp_path / "twice"), "k")
@@ -178,7 +179,31 @@ def test_embedding_job_adds_what_is_missing(spark, tmp_path):
         embed_into(items, path, "body", lengths)
     more = items.union(spark.createDataFrame([("d", "xxx")], items.schema))
     assert embed_into(more, path, "body", lengths) == 1
-    assert {r.UUID_STRING: r.SEMANTIC_EMBEDDING for r in spark.read.parquet(path).collect()} == {"a": [2.0], "c": [1.0], "d": [3.0]}
+    assert {r.UUID_STRING: r.SEMANTIC_EMBEDDING for r in read_keyed(spark, path).collect()} == {"a": [2.0], "c": [1.0], "d": [3.0]}
+
+
+def test_embedding_job_goes_on_where_it_died(spark, tmp_path):
+    path, log = str(tmp_path / "e"), tmp_path / "log"
+    items = spark.createDataFrame([(f"u{k}", "x" * (k + 1)) for k in range(60)], "UUID_STRING string, body string")
+    state = tmp_path / "dies"
+    state.write_text("yes")
+
+    def lengths(texts):
+        with open(log, "a") as out:
+            out.write("".join(f"{len(t)}\n" for t in texts))
+        if state.read_text() == "yes" and any(len(t) == 31 for t in texts):
+            raise RuntimeError("killed")
+        return [[float(len(t))] for t in texts]
+
+    with pytest.raises(Exception, match="killed"):
+        embed_into(items, path, "body", lengths, ranges=6)
+    finished = {r.UUID_STRING for r in read_keyed(spark, path).collect()}
+    assert 0 < len(finished) < 60
+    log.write_text("")
+    state.write_text("no")
+    assert embed_into(items, path, "body", lengths, ranges=6) == 60 - len(finished)
+    again = {f"u{int(n) - 1}" for n in log.read_text().split()}
+    assert not again & finished and read_keyed(spark, path).count() == 60
 
 
 def test_images(spark, tmp_path):

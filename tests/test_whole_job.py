@@ -8,12 +8,12 @@ from prismlake.operators.embeddings import cosine_topk
 from prismlake.plans.queries import QUERIES
 
 
-def test_geo_view_all_takes_every_located_event(spark, tmp_path):
+def test_geo_view_takes_every_located_event(spark, tmp_path):
     n = 400
     ids = np.arange(n)
     events = pd.DataFrame({"event_id": ids, "ts": pd.Timestamp("2024-01-01"), "event_type": "click", "user_id": ids % 7, "value": 1.0})
     spark.createDataFrame(events).write.parquet(str(tmp_path / "events.parquet"))
-    got = QUERIES["geo_view_all"](spark, str(tmp_path)).first()
+    got = QUERIES["geo_view"](spark, str(tmp_path)).first()
     ids = ids[ids % 50 != 0]
     lat, lon = np.radians((ids * 7919) % 180001 / 1000 - 90), np.radians((ids * 104729) % 360001 / 1000 - 180)
     points = np.c_[np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)]

@@ -16,7 +16,7 @@ from .tiles import tile_pairs
 from .words import word_lists
 
 #: Documents and postings of a block, items of a block of queries.
-BLOCK_DOCS, BLOCK_POSTINGS, BLOCK_ITEMS = 1 << 14, 1 << 20, 256
+BLOCK_DOCS, BLOCK_POSTINGS, BLOCK_ITEMS = 1 << 13, 1 << 18, 256
 #: Bits of the filter that drops words no query can hold; its size is fixed, and a false hit costs only work.
 FILTER_BITS = 23
 #: Weight of a document's length, in hundredths.
@@ -86,11 +86,17 @@ def _term_filter(asked: DataFrame) -> np.ndarray:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.astype("<i8").tobytes() for a in arrays)
+    """Whole-number arrays end to end, 4 bytes a number where these suffice."""
+    slim = [a.astype("<i4" if not len(a) or (a.min() >= -(1 << 31) and a.max() < 1 << 31) else "<i8") for a in arrays]
+    return np.array([[len(a), a.itemsize] for a in slim], "<i8").tobytes() + b"".join(a.tobytes() for a in slim)
 
 
 def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
-    return np.split(np.frombuffer(data, "<i8", offset=8 * n), np.cumsum(np.frombuffer(data, "<i8", n))[:-1])
+    at, found = 16 * n, []
+    for length, width in np.frombuffer(data, "<i8", 2 * n).reshape(-1, 2).tolist():
+        found.append(np.frombuffer(data, f"<i{width}", length, at))
+        at += length * width
+    return found
 
 
 def impact_blocks(counted: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
@@ -172,7 +178,7 @@ class ImpactBlock:
     def __init__(self, ids: np.ndarray, data: bytes):
         self.ids = ids
         self.terms, self.starts, self.docs, self.impacts, self.doc_starts, self.places = _unpacked(data, 6)
-        self.list_of = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        self.list_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
         self.weight = np.zeros(len(self.terms), np.int64)
 
     def best(self, terms: np.ndarray, weights: np.ndarray, k: int, least: int = 0) -> tuple[list[tuple[int, int]], int]:
@@ -190,7 +196,7 @@ class ImpactBlock:
         lists, factor = at[held], weights[held]
         if not len(lists):
             return [], 0
-        first, end = self.starts[lists], self.starts[lists + 1]
+        first, end = self.starts[lists].astype(np.int64), self.starts[lists + 1].astype(np.int64)
         self.weight[lists] = factor
         seen = np.zeros(len(self.docs), bool)  # by place in the lists
         met = np.zeros(len(self.ids), bool)
@@ -204,7 +210,7 @@ class ImpactBlock:
             met[fresh] = True
             n_met += len(fresh)
             if len(fresh):
-                lengths = self.doc_starts[fresh + 1] - self.doc_starts[fresh]
+                lengths = (self.doc_starts[fresh + 1] - self.doc_starts[fresh]).astype(np.int64)
                 ends = np.cumsum(lengths)
                 own = self.places[np.arange(ends[-1]) + np.repeat(self.doc_starts[fresh] - (ends - lengths), lengths)]
                 seen[own] = True

@@ -144,7 +144,9 @@ def impact_blocks(counted: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
 
 
 def _query_blocks(asked: DataFrame) -> DataFrame:
-    """(tile, dims, ids, data) of rows (item, row, terms, weights), ``BLOCK_ITEMS`` of them a block."""
+    """(tile, dims, ids, data) of rows (item, row, terms, weights), about ``BLOCK_ITEMS`` of them a block, however they lie."""
+    asked = stored(asked, "search-weighed")
+    asked = asked.repartition(max(1, -(-asked.count() // BLOCK_ITEMS)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -250,8 +252,8 @@ def lexical_top_k(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
     ranked. A task that goes from block to block keeps each item's kth score as the bar for the
     next. Null and empty texts hold no term and are never found; null ids count in the statistics
     but are never found; rows that repeat an id are candidates each; items alike in id and text
-    are asked once, and items of one id with different texts are ranked apart; null items are left out; texts of any length count whole; other columns are
-    ignored, whatever their names; without documents or items there are no rows.
+    are asked once, and items of one id with different texts are ranked apart; null items are left
+    out; texts of any length count whole; other columns are ignored, whatever their names; without documents or items there are no rows.
     """
     asked = term_counts(items.select(F.col(f"`{item_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("body")).filter("doc is not null").distinct())
     asked = stored(asked.withColumn("row", F.monotonically_increasing_id()).select("row", F.col("doc").alias("item"), F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("row", "item", F.col("t.terms").alias("term"), F.col("t.tf").alias("times")), "search-asked")
@@ -271,22 +273,21 @@ def lexical_top_k(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, bars = None, {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["a"] != of:
-                    of, bars = row["a"], {}
-                    starts, terms, weights, numbers = _unpacked(row["data_a"], 4)
-                    numbers = numbers.tolist()
-                block, found = ImpactBlock(np.frombuffer(row["ids_b"], "<i8"), row["data_b"]), []
-                for j, item in enumerate(np.frombuffer(row["ids_a"], "<i8").tolist()):
-                    part = slice(starts[j], starts[j + 1])
-                    held, bar = bars.get(j, ([], 0))
-                    hits, _ = block.best(terms[part], weights[part], k, bar)
-                    found += [(item, numbers[j], score, doc) for score, doc in hits]
-                    held = sorted([*held, *(score for score, _ in hits)], reverse=True)[:k]
-                    bars[j] = held, held[-1] if len(held) == k else 0
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["item", "row", "score", "doc"])
+        for row in (r for batch in batches for n in range(batch.num_rows) for r in batch.slice(n, 1).to_pylist()):  # one block at a time
+            if row["a"] != of:
+                of, bars = row["a"], {}
+                starts, terms, weights, numbers = _unpacked(row["data_a"], 4)
+                numbers = numbers.tolist()
+            block, found = ImpactBlock(np.frombuffer(row["ids_b"], "<i8"), row["data_b"]), []
+            for j, item in enumerate(np.frombuffer(row["ids_a"], "<i8").tolist()):
+                part = slice(starts[j], starts[j + 1])
+                held, bar = bars.get(j, ([], 0))
+                hits, _ = block.best(terms[part], weights[part], k, bar)
+                found += [(item, numbers[j], score, doc) for score, doc in hits]
+                held = sorted([*held, *(score for score, _ in hits)], reverse=True)[:k]
+                bars[j] = held, held[-1] if len(held) == k else 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["item", "row", "score", "doc"])
 
     found = pairs.sortWithinPartitions("a").mapInArrow(search, "item long, row long, score long, doc long")
     by_score = Window.partitionBy("item", "row").orderBy(F.desc("score"), F.asc("doc"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: A document is taken at most so many times, a source to at most so many times its size.
 MOST_COPIES = 3
-#: Seeded offsets of a source, of which the one that brings its words nearest to the target is used.
-OFFSETS = 32
+#: A document of more than this share of its source's target is taken a settled number of times.
+LARGE_SHARE = 0.001
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -65,39 +68,66 @@ def _crossed(place: Column, rate: Column, offset: Column) -> Column:
     return F.floor((place + 1) * rate + offset) - F.floor(place * rate + offset)
 
 
+def _whole_copies(large: DataFrame, most: int) -> DataFrame:
+    """Rows (id, source, size, row_key, source_size, target) with ``copies``, whole numbers whose words follow the expected ones.
+
+    From the largest document down, each is taken so often that the words taken come nearest to those
+    expected so far, so what one has too much the next ones have too little. A source has fewer than
+    ``1 / LARGE_SHARE`` times source_size / target such documents.
+    """
+
+    def settle(group: pa.Table) -> pa.Table:
+        ordered = group.sort_by([("size", "descending"), ("id", "ascending"), ("row_key", "ascending")])
+        rate = ordered["target"][0].as_py() / ordered["source_size"][0].as_py()
+        expected, taken, copies = 0.0, 0, []
+        for size in ordered["size"].to_pylist():
+            expected += rate * size
+            copies.append(min(most, max(0, math.floor((expected - taken) / size + 0.5))))
+            taken += copies[-1] * size
+        return ordered.append_column("copies", pa.array(copies, pa.int64()))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in large.schema.fields)
+    return large.groupBy("source").applyInArrow(settle, f"{fields}, copies long")
+
+
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often each document is taken so that each source comes near its target of words.
 
     Columns: id, ``size`` (words of the text, 0 for null), ``source_size``, ``target``, ``copies``,
-    ``taken`` (copies * size), ``source`` and ``row_key`` (hash of the text). A source's documents are
-    ordered by size and id; each is expected target / source_size times, so the prefix sum is place
-    times that rate; with one random offset a source, a document is emitted once per integer that
-    its running sum crosses. Neighbours in this order are alike in size, so the words taken stay
-    close to the target but for the last, largest documents; of ``OFFSETS`` seeded offsets the one
-    that comes nearest is used. Every number depends on the rows and the seed alone. Null sources
-    form one source, placed last; a source without words takes nothing; ties in size go by id, then
-    text; repeated rows count each; texts of any length count whole; other columns are ignored,
-    whatever their names; an empty table gives no rows.
+    ``taken`` (copies * size), ``source`` and ``row_key`` (hash of the text). Documents of more than
+    ``LARGE_SHARE`` of their source's target are expected a whole number of times (``_whole_copies``),
+    so drawing adds no error for them. The others share what is left of the target evenly: they are
+    ordered by size and id, the prefix sum of expected copies is place times their rate, and with
+    one random offset a source, a document is emitted once per integer that its running sum crosses.
+    Neighbours in this order are alike in size, so the words taken miss the target by about one of
+    these small documents; a source of few documents, or of large ones only, misses it by what
+    their sizes leave open. Every number depends on the rows and the seed alone. Null sources form one
+    source, placed last; a source without words takes nothing; ties in size go by id, then text;
+    repeated rows count each; texts of any length count whole; other columns are ignored, whatever
+    their names; an empty table gives no rows.
     """
-    sized = docs.select(
+    sized = stored(docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("row_key"),
-    )
-    placed = _places(stored(sized, "mixing-sizes"))
-    targets = source_targets(placed.select("source", "size"), weights, most).withColumnRenamed("source", "of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rated = stored(placed.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rate", rate).drop("of"), "mixing-rates")
-
-    def offset(k: int) -> Column:
-        return F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
-
-    off = [F.abs(F.sum(_crossed(F.col("place"), F.col("rate"), offset(k)) * F.col("size")) - F.first("target")) for k in range(OFFSETS)]
-    nearest = rated.groupBy(F.col("source").alias("of")).agg(F.array(*off).alias("off")).select("of", F.array_position("off", F.array_min("off")).alias("nth"))
-    joined = rated.join(nearest, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("offset", F.get(F.array(*map(offset, range(OFFSETS))), (F.col("nth") - 1).cast("int")))
-    taken = joined.withColumn("copies", F.least(_crossed(F.col("place"), F.col("rate"), F.col("offset")), F.lit(most)).cast("long"))
-    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "row_key")
+    ), "mixing-sizes")
+    targets = stored(source_targets(sized, weights, most).withColumnRenamed("source", "of"), "mixing-targets")
+    aimed = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").select("id", "source", "size", "row_key", "source_size", "target")
+    is_large = F.col("size") > F.col("target") * LARGE_SHARE
+    large = stored(_whole_copies(aimed.filter(is_large & (F.col("size") > 0)), most), "mixing-large")
+    small = _places(aimed.filter(~is_large | (F.col("size") == 0)))
+
+    # one row a source
+    spent = large.groupBy(F.col("source").alias("_of")).agg(F.sum(F.col("copies") * F.col("size")).alias("spent"), F.sum("size").alias("held"))
+    left = targets.join(spent, F.col("of").eqNullSafe(F.col("_of")), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("spent", "held")})
+    open_size = F.col("source_size") - F.col("held")
+    rates = left.select("of", F.when(open_size > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.col("target") - F.col("spent")) / open_size))).otherwise(F.lit(0.0)).alias("rate"))
+    offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = small.join(rates, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("copies", F.least(_crossed(F.col("place"), F.col("rate"), offset), F.lit(most)).cast("long"))
+    names = ["id", "size", "source_size", "target", "copies", "source", "row_key"]
+    every = drawn.select(*names).unionByName(large.select(*names))
+    return every.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "row_key")
 
 
 def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

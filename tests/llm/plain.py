@@ -24,6 +24,8 @@ def toxicity_scores(train, texts):
     pooled = (with_1 + with_0) / len(y)
     z = np.abs(with_1 / n1 - with_0 / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
     keep = (with_1 + with_0 >= 3) & (z >= toxicity.LEAST_Z)
+    strongest = sorted(np.flatnonzero(with_1 + with_0 >= 3).tolist(), key=lambda k: (-z[k], every[k]))[: toxicity.LEAST_FEATURES]
+    keep[strongest] = True
     ratio = (np.log((with_1 + 1.0) / (with_1.sum() + 1)) - np.log((with_0 + 1.0) / (with_0.sum() + 1)))[keep]
     x = np.c_[held[:, keep] * ratio, np.ones(len(y))]
     penalty = np.r_[np.full(keep.sum(), toxicity.RIDGE), 1e-6]
@@ -89,7 +91,7 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         fixed |= {s: float(most * sizes[s]) for s in over}
 
 
-def copies(spark, rows, seed=17, offsets=32):
+def copies(spark, rows, seed=17, share=0.001):
     """{(id, text, source): list of copies} of rows (id, text, source), row by row."""
     size = [len((t or "").split()) for _, t, _ in rows]
     own = {s: sum(n for n, (_, _, of) in zip(size, rows) if of == s) for s in {r[2] for r in rows}}
@@ -97,13 +99,21 @@ def copies(spark, rows, seed=17, offsets=32):
     keys = [r[0] for r in spark.createDataFrame([(t,) for _, t, _ in rows], "t string").coalesce(1).select(F.xxhash64("t")).collect()]
     found = {}
     for s in own:
-        mine = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (size[k], rows[k][0] is not None, rows[k][0] or 0, keys[k]))
-        rate = target[s] / own[s] if own[s] else 0.0
-        draws = spark.range(1).select(*[(F.pmod(F.xxhash64(F.lit(s or ""), F.lit(s is None), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)).alias(f"k{k}") for k in range(offsets)]).first()
-        crossed = [[min(3, int(np.floor((p + 1) * rate + d) - np.floor(p * rate + d))) for p in range(len(mine))] for d in draws]
-        best = min(range(offsets), key=lambda k: abs(sum(c * size[m] for c, m in zip(crossed[k], mine)) - target[s]))
-        for c, m in zip(crossed[best], mine):
-            found.setdefault(rows[m], []).append(c)
+        order = lambda k: (rows[k][0] is not None, rows[k][0] or 0, keys[k])
+        mine = [k for k, r in enumerate(rows) if r[2] == s]
+        expected, spent = 0.0, 0
+        large = [k for k in mine if size[k] > max(0, target[s] * share)]
+        for k in sorted(large, key=lambda k: (-size[k], rows[k][0] is None, rows[k][0] or 0, keys[k])):
+            expected += target[s] / own[s] * size[k]
+            n = min(3, max(0, int(np.floor((expected - spent) / size[k] + 0.5))))
+            spent += n * size[k]
+            found.setdefault(rows[k], []).append(n)
+        small = sorted((k for k in mine if k not in large), key=lambda k: (size[k], *order(k)))
+        open_ = sum(size[k] for k in small)
+        rate = min(3.0, max(0.0, (target[s] - spent) / open_)) if open_ else 0.0
+        draw = spark.range(1).select((F.pmod(F.xxhash64(F.lit(s or ""), F.lit(s is None), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).alias("d")).first().d
+        for p, k in enumerate(small):
+            found.setdefault(rows[k], []).append(min(3, int(np.floor((p + 1) * rate + draw) - np.floor(p * rate + draw))))
     return found
 
 

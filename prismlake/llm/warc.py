@@ -45,10 +45,10 @@ def chunk_table(planned: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str
     record = F.concat_ws("-", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "digest")
     cut = planned.withColumn("body", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))).withColumn("record", record)
     pieces = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk_bytes).cast("int"))
-    # the chunks are exploded, not the row with its body
-    chunks = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda n: F.substring("body", n * chunk_bytes + 1, F.lit(chunk_bytes)))
-    rows = cut.withColumn("pieces", pieces).select("record", "pieces", F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), "payload_bytes", "digest", "refers_to", F.posexplode(chunks).alias("n", "chunk"))
-    return rows.select("record", "n", (F.col("n") == F.col("pieces") - 1).alias("last"), "page_id", "url", "payload_bytes", "digest", "refers_to", "chunk")
+    # numbers are exploded, and each chunk is cut from the one body as its row passes
+    rows = cut.withColumn("pieces", pieces).select("record", "pieces", "body", F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), "payload_bytes", "digest", "refers_to", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("n"))
+    chunk = F.substring("body", F.col("n") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk")
+    return rows.select("record", "n", (F.col("n") == F.col("pieces") - 1).alias("last"), "page_id", "url", "payload_bytes", "digest", "refers_to", chunk)
 
 
 def _record_id(record: str) -> str:
@@ -136,7 +136,7 @@ class _Members:
 
 
 def read_records(source) -> Iterator[dict]:
-    """Records of an open archive: headers, and size and digest of the payload as it streams by.
+    """Records of an open archive: headers, and size and digest of the payload as it streams by; an archive cut short is an error.
 
     The payload is what follows the HTTP header in a response; a revisit has none.
     """
@@ -170,7 +170,10 @@ def read_records(source) -> Iterator[dict]:
             digest.update(part)
             left -= len(part)
         while len(held) < 4:
-            held += plain.pull()
+            more = plain.pull()
+            if not more:
+                raise ValueError("archive ends inside a record")
+            held += more
         held = held[4:]
         yield fields | {"digest": digest.hexdigest(), "size": size}
 

@@ -15,6 +15,8 @@ from prismlake.llm.toxicity import fit_toxicity, score_toxicity
 
 #: A document goes at this toxicity score.
 TOXIC_AT = 0.7
+#: A document stays if its language has at least this share of the posterior: more than all others together.
+LEAST_LANGUAGE_SCORE = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +34,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted as ``und``: null texts and those without a letter go, and all if no language was learned.
+    """Documents of a known language: those predicted as ``und``, or with a posterior below ``LEAST_LANGUAGE_SCORE``, go.
 
-    The classifier's answer and score have no say in what goes. Repeated rows go or stay together;
-    texts of any length count whole; null ids are judged but not learned from; other columns are
-    kept, whatever their names.
+    So null texts and those without a letter go, texts that no learned language explains better than all
+    others together, and all if no language was learned. Repeated rows go or stay together; texts of
+    any length count whole; null ids are judged but not learned from; other columns are kept, whatever
+    their names.
     """
     text_batches(spark)
     learned = docs.filter(F.coalesce(id_remainder("doc_id", 4) != 2, F.lit(False)))
     lang = free_name(docs.columns, "predicted_language")
     score = free_name([*docs.columns, lang], "language_score")
     predicted = predict_languages(docs, fit_languages(learned), pred_col=lang, score_col=score)
-    return predicted.filter(F.col(lang) != UNKNOWN).select(*docs.columns)
+    return predicted.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ BITS = 20
 SAMPLE_ROWS = 8000
 #: Features kept: those whose share of texts differs between the labels by so many standard errors.
 LEAST_Z = 4.5
+#: Of few labelled texts no feature may reach that, so at least so many are kept, the strongest.
+LEAST_FEATURES = 200
 RIDGE = 0.5
 
 
@@ -68,7 +70,7 @@ def _logistic(ends: np.ndarray, places: np.ndarray, scale: np.ndarray, y: np.nda
             length = size / max(along @ turned, 1e-300)
             step, left = step + length * along, left - length * turned
             before, size = size, left @ (left / diagonal)
-            if size < 1e-6 * (gradient @ (gradient / diagonal)):
+            if size <= 1e-6 * (gradient @ (gradient / diagonal)):
                 break
             along = left / diagonal + size / before * along
         now, part, slope = loss(w), 1.0, float(gradient @ step)
@@ -86,8 +88,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     The sample is drawn from distinct (id, label) pairs by a hash of the id, about ``sample_rows`` of
     them, so it is small enough to broadcast and only its texts are read further. Features are the
     distinct hashed n-grams of a text. Those whose share of texts differs between the labels by less
-    than ``LEAST_Z`` standard errors, or that fewer than 3 texts hold, are left out; all others, at
-    most 2**BITS, are scaled by their naive Bayes log-count ratio, and a ridge logistic regression weighs them.
+    than ``LEAST_Z`` standard errors, or that fewer than 3 texts hold, are left out, but not the
+    ``LEAST_FEATURES`` strongest of those that 3 texts hold; all others, at most 2**BITS, are scaled by their naive Bayes log-count ratio, and a ridge logistic regression weighs them.
     Null ids, texts and labels are not learned from. With no rows, or one label only, the score is
     the share of label 1 for every text.
     """
@@ -123,7 +125,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     pooled = (F.col("with_1") + F.col("with_0")) / float(n1 + n0)
     error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
     z = F.abs(F.col("with_1") / n1 - F.col("with_0") / n0) / error
-    chosen = held.withColumn("z", z).filter((F.col("with_1") + F.col("with_0") >= 3) & (F.col("z") >= LEAST_Z)).toPandas().sort_values("slot")
+    common = held.withColumn("z", z).filter(F.col("with_1") + F.col("with_0") >= 3)
+    strongest = common.orderBy(F.desc("z"), "slot").limit(LEAST_FEATURES)
+    chosen = common.filter(F.col("z") >= LEAST_Z).union(strongest).distinct().toPandas().sort_values("slot")
     place[chosen["slot"].to_numpy()] = np.arange(len(chosen))
     ratio = np.log((chosen["with_1"].to_numpy() + 1.0) / (all_1 + 1)) - np.log((chosen["with_0"].to_numpy() + 1.0) / (all_0 + 1))
     shared = docs.sparkSession.sparkContext.broadcast(place)

@@ -21,7 +21,7 @@ from prismlake.llm.pieces import TABLE_CHARS, PieceEncoder, safe_pieces
 from prismlake.llm.token_counts import count_tokens
 from prismlake.llm.token_shards import read_token_shards, write_token_shards
 from prismlake.llm.vector_search import top_k
-from prismlake.llm.warc import archive_round_trip
+from prismlake.llm.warc import archive_round_trip, read_records
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -184,3 +184,26 @@ def test_fit_never_leads_away():
         weight, bias = toxicity._logistic(ends, places, scale, y, toxicity.RIDGE)
         odds = np.array([(weight[r] * scale[r]).sum() + bias for r in rows])
         assert ((odds > 0) == (y == 1)).all()
+
+
+def test_archives_cut_short_are_an_error():
+    import gzip
+    import io
+
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"
+    whole = head + b"abcde" + b"\r\n\r\n"
+    assert [(r["size"], r["WARC-Type"]) for r in read_records(io.BytesIO(gzip.compress(whole) * 2))] == [(5, "response")] * 2
+    for n in (3, 4, 7, len(whole) - 30):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(read_records(io.BytesIO(gzip.compress(whole) + gzip.compress(whole[: len(whole) - n]))))
+
+
+def test_toxicity_of_few_and_balanced_labels(spark):
+    for texts in (["same words"] * 18, [chr(0x4E00 + 99 * k) * 9 for k in range(18)], [f"{'bad' if k % 2 else 'good'} words here" for k in range(18)]):
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+        scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, docs.selectExpr("doc_id", "int(doc_id % 2) as toxic"))).collect()}
+        assert all(0 <= s <= 1 for s in scores.values())
+        if "bad words here" in texts:
+            assert all(scores[k] > 0.7 for k in range(1, 18, 2)) and all(scores[k] < 0.3 for k in range(0, 18, 2))
+        else:
+            assert all(abs(s - 0.5) < 1e-6 for s in scores.values())

@@ -42,7 +42,8 @@ def clean(rows, labels):
 
 
 def known(rows):
-    return [r for r in rows if r[1] is not None and any(c.isalpha() for c in r[1])]
+    answers = plain.languages([(r[1], r[2]) for r in rows if r[0] is not None and plain.part(r[0], 4) != 2], [r[1] for r in rows])
+    return [r for r, (lang, score) in zip(rows, answers) if lang != "und" and score >= C.LEAST_LANGUAGE_SCORE]
 
 
 def apart(rows):
@@ -100,6 +101,24 @@ def test_run_against_plain_versions(spark, corpus):
     assert got == Counter({k: n for k, n in want.items() if n})
 
 
+def test_language_stage_drops_what_no_language_explains(spark):
+    """Three languages learned from the same words leave a text of them a third each; a text of one language's own words stays."""
+    shared, own = "norde lav stien", ["qqqq qqq", "zzzz zzz", "wwww www"]
+    rows = [(i, f"{shared} {own[i % 3]}", "abc"[i % 3]) for i in range(400)] + [(1000 + i, shared, "a") for i in range(4)] + [(2000 + i, "qqq qqqq", None) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter("doc_id < 1000 or doc_id >= 2000")
+    asked = docs.unionByName(spark.createDataFrame([r[:2] for r in rows if 1000 <= r[0] < 2000], "doc_id long, text string").selectExpr("doc_id", "text", "null as lang"))
+    kept = {r.doc_id for r in C.drop_unknown_language(spark, asked, "").collect()}
+    assert kept >= set(range(400)) and kept >= set(range(2000, 2004)) and not kept & set(range(1000, 1004))
+
+
+def test_stages_keep_a_table_of_equal_halves(spark, tmp_path):
+    """As many toxic as clean rows and no common n-gram: every score is one half, and nothing goes."""
+    rows = [(i, chr(0x4E00 + 40 * i) + "".join(chr(0x4E00 + 40 * i + k) for k in range(30))) for i in range(18)]
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert C.drop_toxic(spark, docs, str(tmp_path)).count() == 18
+
+
 def test_stages_of_an_empty_table(spark, corpus):
     _, _, folder = corpus
     none = spark.read.parquet(f"{folder}/documents.parquet").filter(F.lit(False))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spatial import haversine, zoom_of
+from .prefix import running_sum
 
 MARKER_SIZE, MARKER_LEAST = 20, 3
 
@@ -22,10 +23,11 @@ def group_totals(df: DataFrame, group: str) -> DataFrame:
 
 
 def temporal_cdf(df: DataFrame, ts: str, group: str, id_col: str = "df_id") -> DataFrame:
-    """Per group in order of time: cumulative COUNT over the total. Meant for bucketed frames, of bounded size."""
-    running = Window.partitionBy(group).orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(group)
-    return df.withColumn("cdf", F.sum(counted(df)).over(running) / F.greatest(F.lit(1), F.sum(counted(df)).over(whole)))
+    """Per group in order of time: cumulative COUNT over the total; a group may be of any size."""
+    totals = df.groupBy(F.col(group).alias("_group")).agg(F.greatest(F.lit(1), F.sum(counted(df))).alias("_total"))
+    summed = running_sum(df.withColumn("_n", counted(df).cast("long")), "_n", [ts, id_col], group, "_run")
+    joined = summed.join(totals, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_run") / F.col("_total")).alias("cdf"))
 
 
 def cdf_frame(df: DataFrame, ts: str, group: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bucketing as B
 from ..operators import selection as S
 from ..operators.frames import counted
+from ..operators.sketches import LevelSketches
 from ..scratch import stored
 
 BUDGET = 10_000
@@ -29,10 +30,13 @@ class Projection:
     group: str | None
 
 
-def project(df: DataFrame, family: str, max_rows: int = BUDGET, group: str | None = "DATA_TYPE") -> Projection:
-    """Drop rows without the family's inputs, choose the level, collapse."""
+def project(df: DataFrame, family: str, max_rows: int = BUDGET, group: str | None = "DATA_TYPE", sketches: LevelSketches | None = None) -> Projection:
+    """Drop rows without the family's inputs, choose the level, from sketches of ``df`` if given, collapse."""
     usable = B.drop_missing(df, family)
-    level = {"geo": B.optimal_geo_level, "time": B.optimal_temporal_level, "semantic": B.optimal_semantic_level}[family](usable, max_rows)
+    if sketches is not None:
+        level = sketches.level(family, max_rows, df)
+    else:
+        level = {"geo": B.optimal_geo_level, "time": B.optimal_temporal_level, "semantic": B.optimal_semantic_level}[family](usable, max_rows)
     return Projection(usable if level is None else stored(B.renumbered(B.bucket_by_column(usable, level, group)), "session-view"), level, group)
 
 
@@ -40,7 +44,9 @@ def project(df: DataFrame, family: str, max_rows: int = BUDGET, group: str | Non
 class LinkedSession:
     """``base`` must hold a ``df_id``; ``families`` are the projections kept in step.
 
-    The base is stored once with its bucket columns, of which each later step reads only its own.
+    The base is stored once with its bucket columns, of which each later step reads only its own. With
+    times in it, levels are sketched once by hour and group; as long as all selections are of time
+    buckets of an hour or more, levels of the subset are chosen from these sketches.
     """
 
     base: DataFrame
@@ -50,17 +56,21 @@ class LinkedSession:
     subset: DataFrame = field(init=False)
     projections: dict[str, Projection] = field(init=False, default_factory=dict)
     _events: int = field(init=False, default=0)
+    _base_sketches: LevelSketches | None = field(init=False, default=None)
+    _sketches: LevelSketches | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
         self.base = stored(B.add_bucketed_columns(self.base), "session-base")
+        if "TIMESTAMP_UTC" in self.base.columns:
+            self._base_sketches = LevelSketches.of(self.base, self.families, self.group)
         self.reset()
 
     def reset(self) -> None:
-        self.subset, self._events = self.base, 0
+        self.subset, self._events, self._sketches = self.base, 0, self._base_sketches
         self._project()
 
     def _project(self) -> None:
-        self.projections = {f: project(self.subset, f, self.max_rows, self.group) for f in self.families}
+        self.projections = {f: project(self.subset, f, self.max_rows, self.group, self._sketches) for f in self.families}
 
     def apply_filter(self, family: str, ids: list[int], operator: str = "intersection") -> None:
         """Keep (``intersection``) or remove (``subtraction``) the rows behind these points of a projection."""
@@ -70,13 +80,19 @@ class LinkedSession:
         keep = operator == "intersection"
         if not ids:
             self.subset = self.subset.limit(0) if keep else self.subset
+            self._sketches = None if keep else self._sketches
         elif view.level is None:
             chosen = self.base.sparkSession.createDataFrame([(i,) for i in ids], "df_id long")
             self.subset = (S.filter_to_ids if keep else S.subtract_ids)(self.subset, chosen)
+            self._sketches = None
         else:
             picked = S.pick(view.rows, ids)
             rows = B.drop_missing(self.subset, family) if keep else self.subset
             self.subset = (S.filter_to_buckets if keep else S.subtract_buckets)(rows, picked, view.level, view.group)
+            if self._sketches is not None and self._sketches.can_follow(view.level, view.group):
+                self._sketches = (self._sketches.kept if keep else self._sketches.without)(picked, view.level, view.group)
+            else:
+                self._sketches = None
         self._events += 1
         if self._events % CUT_EVERY == 0:
             self.subset = stored(self.subset, "session-subset")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions.scalars import row_hash
 from .bucketing import fill_group_unknown
@@ -78,6 +79,13 @@ def keep_first(df: DataFrame, key: str, order: str = "df_id") -> DataFrame:
     return drawn.join(firsts, same, "left_semi").dropDuplicates([key]).drop("_draw")
 
 
+def dedup_rows(df: DataFrame) -> DataFrame:
+    """Each row once; maps, which Spark does not compare, are alike if their entries are, in any order."""
+    maps = {f"_entries_{f.name}": F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) for f in df.schema.fields if isinstance(f.dataType, MapType)}
+    keys = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)] + list(maps)
+    return df.withColumns(maps).dropDuplicates(keys).drop(*maps) if maps else df.distinct()
+
+
 def filter_media(df: DataFrame) -> DataFrame:
     return df.filter(F.col("DATA_TYPE").isin("PHOTO", "VIDEO"))
 

@@ -205,7 +205,7 @@ def dedup_key(spark, sf_dir):
 
 @_query("SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem")
 def dedup_rows(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus").distinct()
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus").transform(X.dedup_rows)
 
 
 @_query("SELECT o_orderpriority AS source, count(*) AS rows FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) GROUP BY 1")
@@ -213,10 +213,10 @@ def duplicate_report(spark, sf_dir):
     return P.duplicate_report(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority").withColumnRenamed("o_orderpriority", "source")
 
 
-@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def missing_embeddings(spark, sf_dir):
     items = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("UUID_STRING"))
-    known = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("UUID_STRING"))
+    known = _read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("UUID_STRING"))
     return E.missing_embeddings(items, known).withColumnRenamed("UUID_STRING", "c_custkey")
 
 
@@ -285,10 +285,9 @@ def order_groups(spark, sf_dir):
     return B.order_groups(_events(spark, sf_dir).withColumn("group_name", B.group_name(["DATA_TYPE"])).withColumn("COUNT", F.lit(None).cast("long")))
 
 
-@_query("SELECT 'x' || coalesce(o_orderstatus, 'Unknown') AS status, count(*) AS n, count(*) FILTER (o_orderkey % 7 = 0) AS missing FROM orders GROUP BY 1")
+@_query("SELECT count(*) FILTER (event_id % 50 = 0) AS GPS_LATITUDE, 0::BIGINT AS DATA_TYPE FROM events")
 def count_missing(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders").withColumn("clerk", F.when(F.col("o_orderkey") % 7 != 0, "c"))
-    return o.groupBy(F.concat(F.lit("x"), B.fill_group_unknown("o_orderstatus")).alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("clerk").isNull()).alias("missing"))
+    return P.count_missing(_events(spark, sf_dir), ["GPS_LATITUDE", "DATA_TYPE"])
 
 
 @_query()

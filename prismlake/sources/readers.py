@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import e7_to_degrees, iso_utc, parse_utc, plain_double, point_uuid, uuid_text
 from ..operators.schema import CORE, assign_df_id, clip_coordinates, normalize, validate
+from ..scratch import stored
 from .json_array import json_array_entries
 
 _POINT = "array<struct<_lat:double,_lon:double,time:string,name:string,cmt:string,desc:string>>"
@@ -105,9 +108,14 @@ def read_embeddings(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(UUID_STRING, path): ``<uuid>.jpg`` anywhere below; of equal names the first path."""
+    """(UUID_STRING, path): ``<uuid>.jpg`` anywhere below; of equal names the first path. Repeated names are logged, with how many there are."""
     found = discover_files(spark, folder, "*.jpg").withColumn("UUID_STRING", F.regexp_extract("name", r"^(.*)\.jpg$", 1))
-    return found.groupBy("UUID_STRING").agg(F.min("path").alias("path"))
+    once = stored(found.groupBy("UUID_STRING").agg(F.min("path").alias("path"), F.count("*").alias("files")), "images")
+    repeated = once.filter("files > 1")
+    if n := repeated.count():
+        some = ", ".join(r["UUID_STRING"] for r in repeated.orderBy("UUID_STRING").limit(5).collect())
+        logging.getLogger(__name__).warning("%d image names occur more than once below %s: %s%s", n, folder, some, " ..." if n > 5 else "")
+    return once.drop("files")
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -118,16 +126,26 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return assign_df_id(total)
 
 
-def ingest_tracks(points: DataFrame) -> DataFrame:
-    """Distinct rows in order of (time, UUID), with buckets; a UUID that stays repeated is an error that names the files."""
+def ingest_tracks(points: DataFrame, path: str | None = None) -> DataFrame:
+    """Distinct rows in order of (time, UUID), with buckets; a UUID that stays repeated is an error that names the files.
+
+    The distinct rows are written once, for the check and the result. With ``path`` the result is
+    written there as Parquet and read back.
+    """
     from ..operators.bucketing import add_bucketed_columns
     from ..operators.profile import duplicate_report
+    from ..operators.selection import dedup_rows
+    from .sinks import write_parquet
 
-    rows = points.distinct()
+    rows = stored(dedup_rows(points), "distinct-points")
     files = [f"{r[0]} ({r[1]})" for r in duplicate_report(rows, "UUID_STRING", "SOURCE_FILE").orderBy(F.desc("rows")).limit(20).collect()]
     if files:
         raise ValueError("repeated UUIDs in: " + ", ".join(files))
-    return add_bucketed_columns(rows.repartitionByRange("TIMESTAMP_UTC", "UUID_STRING").sortWithinPartitions("TIMESTAMP_UTC", "UUID_STRING"))
+    bucketed = add_bucketed_columns(rows.repartitionByRange("TIMESTAMP_UTC", "UUID_STRING").sortWithinPartitions("TIMESTAMP_UTC", "UUID_STRING"))
+    if path is None:
+        return bucketed
+    write_parquet(bucketed, path)
+    return points.sparkSession.read.parquet(path)
 
 
 def first_point_per_file(points: DataFrame) -> DataFrame:

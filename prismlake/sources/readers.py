@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import logging
+import re
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import e7_to_degrees, iso_utc, parse_utc, plain_double, point_uuid, uuid_text
-from ..operators.schema import CORE, assign_df_id, clip_coordinates, normalize, validate
+from ..operators.schema import CORE, assign_df_id, clip_coordinates, normalize, rules
 from ..scratch import stored
 from .json_array import json_array_entries
 
@@ -18,24 +21,52 @@ _GPX = f"trk array<struct<trkseg:array<struct<trkpt:{_POINT}>>>>, wpt {_POINT},
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One object a line; a bad line is an error that shows it and its place. Missing core columns are null, times parsed, rows checked and numbered."""
-    try:
-        inferred = spark.read.json(path, mode="FAILFAST").schema
-    except Exception as failed:
-        raise ValueError("; ".join(_bad_lines(spark, path)) or str(failed)) from failed
+    """One object a line; a bad line is an error that shows it and its place. Missing core columns are null, times parsed, rows checked and numbered.
+
+    The files are read once: lines are parsed and stored, and all that follows reads the stored rows.
+    Rules are counted as the rows are numbered, without a pass of their own.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    # numbers of lines within their file follow from the stored lines, empty ones included
+    held = stored(lines.withColumn("parsed", F.try_parse_json("value")), "json-lines")
+    is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
+    full = held.filter(F.trim("value") != "")
+    found = full.agg(F.count_if(~is_object).alias("bad"), F.expr("schema_of_variant_agg(parsed)").alias("kinds")).first()
+    if found["bad"]:
+        raise ValueError("; ".join(_bad_lines(held, full.filter(~is_object))))
+    inferred = _struct_of(spark, found["kinds"] or "OBJECT<>")
     core = {f.name: f for f in CORE}
     # core columns are read in their own types, times as text; other columns as they are found
     fields = [T.StructField(f.name, T.StringType() if isinstance(core[f.name].dataType, T.TimestampType) else core[f.name].dataType) if f.name in core else f for f in inferred.fields]
-    return assign_df_id(validate(normalize(spark.read.schema(T.StructType(fields)).json(path, mode="FAILFAST"))))
-
-
-def _bad_lines(spark: SparkSession, path: str, most: int = 5) -> list[str]:
-    """The first lines that are no JSON object: file, line number within it, and their beginning."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    bad = lines.filter((F.trim("value") != "") & (F.try_parse_json("value").isNull() | ~F.schema_of_variant(F.coalesce(F.try_parse_json("value"), F.parse_json(F.lit("1")))).startswith("OBJECT")))
-    found = bad.orderBy("at").limit(most).collect()
-    starts = {(r["file"], r["block"]): r["first"] for r in lines.groupBy("file", "block").agg(F.min("at").alias("first")).collect()} if found else {}
-    return [f"line {r['at'] - starts[r['file'], r['block']] + 1}{'' if not r['block'] else f' from byte {r["block"]}'} of {r['file']}: {r['value'][:80]}" for r in found]
+    rows = full.select(F.from_json("value", T.StructType(fields), {"mode": "FAILFAST"}).alias("row")).select("row.*") if fields else full.select()
+    return _checked(normalize(rows))
+
+
+def _struct_of(spark: SparkSession, kinds: str) -> T.StructType:
+    """The columns of lines whose variants have this schema: decimals are doubles, and mixed or unknown values text."""
+    text = re.sub(r"\bDECIMAL\(\d+,\s*\d+\)", "DOUBLE", kinds)
+    text = re.sub(r"\bOBJECT\b(?=<)", "STRUCT", re.sub(r"\b(VOID|VARIANT)\b", "STRING", text))
+    return T.StructType() if text in ("STRUCT<>", "STRING") else spark.range(0).select(F.from_json(F.lit(None).cast("string"), text).alias("s")).schema["s"].dataType
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """``df`` numbered, or an error that names every broken rule; rules are observed as the numbered rows are written."""
+    seen = Observation()
+    numbered = assign_df_id(df.observe(seen, *[F.count_if(bad).alias(name) for name, bad in rules().items()]))
+    broken = [(name, n) for name, n in seen.get.items() if n]
+    if broken:
+        raise ValueError("broken rules: " + ", ".join(f"{name} ({n})" for name, n in broken))
+    return numbered
+
+
+def _bad_lines(held: DataFrame, bad: DataFrame, most: int = 5) -> list[str]:
+    """The first bad lines: file, line number in the whole file, and their beginning."""
+    found = bad.orderBy("file", "block", "at").limit(most).collect()
+    splits = held.filter(F.col("file").isin([r["file"] for r in found])).groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = reduce(or_, [(F.col("file") == r["file"]) & (F.col("block") == r["block"]) for r in found])
+    of = {(r["file"], r["block"]): r["before"] - r["first"] + 1 for r in splits.withColumn("before", before).filter(here).collect()}
+    return [f"line {r['at'] + of[r['file'], r['block']]} of {r['file']}: {r['value'][:80]}" for r in found]
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -144,6 +144,27 @@ def test_read_jsonl_numbers_rows(spark, tmp_path):
         read_jsonl(spark, str(tmp_path / "b.jsonl"))
 
 
+def test_read_jsonl_places_bad_lines_in_files_of_several_splits(spark, tmp_path):
+    lines = [json.dumps({"UUID_STRING": f"u{i}", "DATA_TYPE": "PHOTO", "x": i if i % 2 else i / 4, "deep": {"a": [1, {"b": None}]}, "mixed": i if i % 3 else "t", "none": None}) for i in range(120)]
+    lines[40] = ""
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    try:
+        rows = read_jsonl(spark, str(tmp_path / "a.jsonl"))
+        assert dict(rows.dtypes)["x"] == "double" and dict(rows.dtypes)["mixed"] == "string"
+        assert sorted(r.df_id for r in rows.collect()) == list(range(119)) and rows.filter("UUID_STRING = 'u7'").first().mixed == "7" and rows.filter("UUID_STRING = 'u6'").first().x == 1.5
+        lines[77] = "[1, 2]"
+        lines[99] = '{"UUID_STRING": '
+        (tmp_path / "b.jsonl").write_text("\n".join(lines))
+        with pytest.raises(ValueError, match=r"line 78 of .*b.jsonl: \[1, 2\]; line 100 of"):
+            read_jsonl(spark, str(tmp_path / "b.jsonl"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "c.jsonl").write_text('{"UUID_STRING": "a", "DATA_TYPE": "SONG", "RATING_0_TO_5": 9}\n')
+    with pytest.raises(ValueError, match=r"data_type_unknown \(1\), rating_range \(1\)"):
+        read_jsonl(spark, str(tmp_path / "c.jsonl"))
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("2024-01-01T10:00:00+01:00", "mov", "/r/", "a/b.jpg"), ("bad", None, "", None)], "t string, f string, r string, n string")
     a, b = df.select(parse_utc(F.col("t")).alias("t"), classify_media(F.col("f")).alias("m"), build_path(F.col("r"), F.lit("x"), F.col("n")).alias("p")).collect()

@@ -9,6 +9,7 @@ from ..operators import bucketing as B
 from ..operators import embeddings as E
 from ..operators import frames as V
 from ..operators import selection as X
+from ..operators.landmarks import project_to_sphere_by_landmarks
 from ..operators.sketches import LevelSketches
 from ..operators.vector_index import VectorIndex
 from ..scratch import scratch_path
@@ -215,3 +216,11 @@ def keyed_batches(spark, sf_dir):
     written, rows = upsert(late, path, "l_orderkey"), late.count()
     few = written <= min(rows, layout_of(spark, path)["buckets"])
     return read_keyed(spark, path).select("l_orderkey", "lines", "note", F.lit(few).alias("few_buckets"))
+
+
+@_query("SELECT vec_id, embedding IS NOT NULL AS placed, true AS in_range FROM embeddings")
+def landmark_projection(spark, sf_dir):
+    """Every vector's place on the sphere; where it lies is held by a test, SQL only tells that it lies somewhere."""
+    v = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("SEMANTIC_EMBEDDING"))
+    lat, lon = F.col("SEMANTIC_EMBEDDING_UMAP_LATITUDE"), F.col("SEMANTIC_EMBEDDING_UMAP_LONGITUDE")
+    return project_to_sphere_by_landmarks(v).select("vec_id", lat.isNotNull().alias("placed"), F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(True)).alias("in_range"))

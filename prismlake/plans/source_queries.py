@@ -9,6 +9,7 @@ from ..operators import bucketing as B
 from ..operators import embeddings as E
 from ..operators import frames as V
 from ..operators import selection as X
+from ..operators.bitmaps import BitmapIndex, selected_rows
 from ..operators.landmarks import project_to_sphere_by_landmarks
 from ..operators.sketches import LevelSketches
 from ..operators.vector_index import VectorIndex
@@ -224,3 +225,25 @@ def landmark_projection(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("SEMANTIC_EMBEDDING"))
     lat, lon = F.col("SEMANTIC_EMBEDDING_UMAP_LATITUDE"), F.col("SEMANTIC_EMBEDDING_UMAP_LONGITUDE")
     return project_to_sphere_by_landmarks(v).select("vec_id", lat.isNotNull().alias("placed"), F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(True)).alias("in_range"))
+
+
+@_query("""WITH e AS (SELECT event_id, date_trunc('hour', ts) AS h, event_type, CASE WHEN event_type = 'click' AND extract(hour FROM ts) < 6 THEN 1 ELSE 0 END AS a, CASE WHEN extract(hour FROM ts) BETWEEN 3 AND 8 THEN 1 ELSE 0 END AS b FROM events)
+    SELECT h::TIMESTAMP AS hour_start, event_type AS grp, count(*) AS n, min(event_id) AS df_id FROM e WHERE a = 0 AND b = 1 GROUP BY 1, 2""")
+def bitmap_selections(spark, sf_dir):
+    """Hour buckets after one selection is kept and another taken away, from bitmaps alone."""
+    base = B.add_temporal_buckets(_events(spark, sf_dir))
+    index = BitmapIndex.of(base, "BUCKETED_TIMESTAMP_HOUR", "DATA_TYPE")
+    buckets = index.buckets(index.everything)
+    hours = F.hour("BUCKETED_TIMESTAMP_HOUR")
+    kept = index.kept(index.everything, buckets.filter(hours.between(3, 8)))
+    left = index.without(kept, buckets.filter((F.col("DATA_TYPE") == "click") & (hours < 6)))
+    return index.buckets(left).select(_ntz("BUCKETED_TIMESTAMP_HOUR").alias("hour_start"), F.col("DATA_TYPE").alias("grp"), F.col("COUNT").alias("n"), "df_id")
+
+
+@_query("SELECT event_id AS df_id, user_id FROM events WHERE NOT (event_type = 'click' AND extract(hour FROM ts) < 6)")
+def bitmap_rows(spark, sf_dir):
+    """The rows that a selection by bitmaps leaves."""
+    base = B.add_temporal_buckets(_events(spark, sf_dir))
+    index = BitmapIndex.of(base, "BUCKETED_TIMESTAMP_HOUR", "DATA_TYPE")
+    left = index.without(index.everything, _picked(spark, sf_dir))
+    return selected_rows(base, left).select("df_id", "user_id")

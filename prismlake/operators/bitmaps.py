@@ -71,13 +71,11 @@ class BitmapIndex:
 
     def kept(self, selection: DataFrame, picked: DataFrame) -> DataFrame:
         """``selection`` AND the picked buckets."""
-        other = self.picked(picked).withColumnRenamed("bitmap", "other")
-        return stored(_combined(selection.join(other, "block"), ["block"], negate=False), "bitmap-selection")
+        return narrowed(selection, self.picked(picked), keep=True)
 
     def without(self, selection: DataFrame, picked: DataFrame) -> DataFrame:
         """``selection`` AND NOT the picked buckets."""
-        other = self.picked(picked).withColumnRenamed("bitmap", "other")
-        return stored(_combined(selection.join(other, "block", "left"), ["block"], negate=True), "bitmap-selection")
+        return narrowed(selection, self.picked(picked), keep=False)
 
     def buckets(self, selection: DataFrame) -> DataFrame:
         """(target, group if any, COUNT, first id) of each bucket of the selected rows, from bitmaps alone.
@@ -98,6 +96,18 @@ class BitmapIndex:
         return summed.select(F.col("target").alias(self.target), *group, "COUNT", self.id_col)
 
 
+def bitmaps_of(ids: DataFrame, id_col: str = "df_id") -> DataFrame:
+    """(block, bitmap) of these row numbers."""
+    block, bit = F.floor(F.col(id_col) / BLOCK_ROWS).cast("long"), F.pmod(F.col(id_col), F.lit(BLOCK_ROWS)).cast("long")
+    return ids.select(block.alias("block"), bit.alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def narrowed(selection: DataFrame, other: DataFrame, keep: bool) -> DataFrame:
+    """``selection`` AND ``other``, or AND NOT; both are (block, bitmap)."""
+    pairs = selection.join(other.withColumnRenamed("bitmap", "other"), "block", "inner" if keep else "left")
+    return stored(_combined(pairs, ["block"], negate=not keep), "bitmap-selection")
+
+
 def selected_rows(base: DataFrame, selection: DataFrame, id_col: str = "df_id") -> DataFrame:
     """The base rows whose bits are set."""
     of = selection.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap"))

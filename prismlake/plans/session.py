@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bucketing as B
 from ..operators import selection as S
+from ..operators.bitmaps import BitmapIndex, bitmaps_of, narrowed, selected_rows
 from ..operators.frames import counted
 from ..operators.sketches import LevelSketches
 from ..scratch import stored
@@ -46,18 +47,23 @@ class LinkedSession:
 
     The base is stored once with its bucket columns, of which each later step reads only its own. With
     times in it, levels are sketched once by hour and group; as long as all selections are of time
-    buckets of an hour or more, levels of the subset are chosen from these sketches.
+    buckets of an hour or more, levels of the subset are chosen from these sketches. With ``bitmaps``, for
+    ids from 0 on, the subset is a bitmap of row numbers: a level that is picked from is indexed once, a
+    selection is an AND or AND NOT, and however many there are, the subset is one join with the base.
     """
 
     base: DataFrame
     families: tuple[str, ...] = ("geo", "time")
     max_rows: int = BUDGET
     group: str | None = "DATA_TYPE"
+    bitmaps: bool = False
     subset: DataFrame = field(init=False)
     projections: dict[str, Projection] = field(init=False, default_factory=dict)
     _events: int = field(init=False, default=0)
     _base_sketches: LevelSketches | None = field(init=False, default=None)
     _sketches: LevelSketches | None = field(init=False, default=None)
+    _indexes: dict[str, BitmapIndex] = field(init=False, default_factory=dict)
+    _selection: DataFrame | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
         self.base = stored(B.add_bucketed_columns(self.base), "session-base")
@@ -67,6 +73,7 @@ class LinkedSession:
 
     def reset(self) -> None:
         self.subset, self._events, self._sketches = self.base, 0, self._base_sketches
+        self._selection = None
         self._project()
 
     def _project(self) -> None:
@@ -93,8 +100,21 @@ class LinkedSession:
                 self._sketches = (self._sketches.kept if keep else self._sketches.without)(picked, view.level, view.group)
             else:
                 self._sketches = None
+        if self.bitmaps and ids:
+            if self._selection is None:
+                self._selection = stored(bitmaps_of(self.base), "session-bitmaps")
+            if view.level is None:
+                other = bitmaps_of(chosen)
+            else:
+                if view.level not in self._indexes:
+                    self._indexes[view.level] = BitmapIndex.of(self.base, view.level, view.group)
+                other = self._indexes[view.level].picked(picked)
+            self._selection = narrowed(self._selection, other, keep)
+            self.subset = selected_rows(self.base, self._selection)
+        elif self.bitmaps and keep:
+            self._selection = self.subset.select("df_id").transform(bitmaps_of)
         self._events += 1
-        if self._events % CUT_EVERY == 0:
+        if not self.bitmaps and self._events % CUT_EVERY == 0:
             self.subset = stored(self.subset, "session-subset")
         self._project()
 

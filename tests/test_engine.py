@@ -74,6 +74,17 @@ def test_session_complements(spark):
     assert kept | gone == set(range(20)) and not kept & gone and kept
     s.apply_filter("geo", [], "subtraction")
     assert s.summary()["rows"] == len(gone)
+    by_bits = LinkedSession(rows, families=("time",), max_rows=6, bitmaps=True)
+    by_bits.apply_filter("time", ids, "subtraction")
+    assert {r.df_id for r in by_bits.subset.collect()} == gone
+    by_bits.apply_filter("time", [0], "intersection")
+    by_joins = LinkedSession(rows, families=("time",), max_rows=6)
+    by_joins.apply_filter("time", ids, "subtraction")
+    by_joins.apply_filter("time", [0], "intersection")
+    assert {r.df_id for r in by_bits.subset.collect()} == {r.df_id for r in by_joins.subset.collect()} != set()
+    assert by_bits.projections["time"].level == by_joins.projections["time"].level
+    by_bits.apply_filter("time", [], "intersection")
+    assert by_bits.subset.count() == 0
 
 
 def test_upsert_replaces_by_key(spark, tmp_path):

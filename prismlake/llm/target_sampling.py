@@ -66,8 +66,9 @@ class HeadVocabulary:
 def head_vocabulary(docs: DataFrame, buckets: int, most_words: int, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS, text_col: str = "text") -> HeadVocabulary:
     """The most frequent words of all texts and, where runs of two count, the most frequent pairs of these.
 
-    Counts are exact and cover every text; only the head itself, of a stated size, comes to the
-    driver. What is in the head changes the work, never a result.
+    Counts are exact and cover every text. The head is all words above a count, which is set so that
+    they are at most ``head_words``; only a tally of counts, in steps of an eighth of a doubling, and the head
+    itself come to the driver. What is in the head changes the work, never a result.
     """
     spark, texts = docs.sparkSession, docs.select(F.col(f"`{text_col}`").alias("body"))
 
@@ -88,8 +89,15 @@ def head_vocabulary(docs: DataFrame, buckets: int, most_words: int, head_words:
         yield full()
 
     def most_frequent(counted: DataFrame, name: str, most: int) -> list:
-        summed = counted.groupBy(name).agg(F.sum("n").alias("n"))
-        return [r[name] for r in summed.orderBy(F.desc("n"), name).limit(most).collect()]
+        step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+        summed = stored(counted.groupBy(name).agg(F.sum("n").alias("n")).select(name, step), "target-head")
+        held, least = 0, 1 << 20
+        for r in sorted(summed.groupBy("step").count().collect(), reverse=True):
+            held += r["count"]
+            if held > most:
+                break
+            least = r["step"]
+        return sorted(r[name] for r in summed.filter(F.col("step") >= least).select(name).collect())
 
     words = [bytes(w) for w in most_frequent(texts.mapInArrow(count_words, "word binary, n long"), "word", head_words)]
     head = HeadVocabulary(words, np.zeros(0, np.int64), buckets)

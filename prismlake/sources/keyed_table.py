@@ -113,7 +113,7 @@ def recover(spark: SparkSession, path: str) -> None:
         files.delete(STAGED)
 
 
-def upsert(df: DataFrame, path: str, key: str, order: str | None = None, mode: str = "replace", buckets: int = BUCKETS) -> int:
+def upsert(df: DataFrame, path: str, key: str, order: str | None = None, mode: str = "replace", buckets: int | None = None) -> int:
     """Merge ``df`` into the table at ``path`` by key; made if absent. Returns how many buckets were written.
 
     The table lies in directories by a hash of the key. Only the buckets that the batch's keys fall in
@@ -149,6 +149,7 @@ def upsert(df: DataFrame, path: str, key: str, order: str | None = None, mode: s
             touched = [r[0] for r in new.select(bucket_of(key, buckets).alias("b")).distinct().collect()]
             old = read_keyed(spark, path, touched) if there and touched else None
         else:
+            buckets = buckets or BUCKETS
             touched, old = None, assert_unique_key(read_keyed(spark, path), key) if there else None
         if touched == []:
             return 0

@@ -6,6 +6,14 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    """Tables of a few rows in a few files."""
+    from prismlake.sources import keyed_table
+
+    monkeypatch.setattr(keyed_table, "BUCKETS", 6)
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession

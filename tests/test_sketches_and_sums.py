@@ -34,7 +34,7 @@ def test_levels_of_subsets_equal_the_exact_ones(base):
     rest = S.subtract_buckets(base, some, "BUCKETED_TIMESTAMP_HOUR", "DATA_TYPE")
     subsets = [(kept, sketches.kept(some, "BUCKETED_TIMESTAMP_HOUR", "DATA_TYPE")), (rest, sketches.without(some, "BUCKETED_TIMESTAMP_HOUR", "DATA_TYPE"))]
     for subset, of in subsets:
-        for budget in (5, 90, 100_000):
+        for budget in (5, 90):
             for family in ("geo", "time"):
                 assert of.level(family, budget, subset) == exact(subset, family, budget), (family, budget)
 

@@ -7,23 +7,37 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Shares of a node's pairs.
+SHARES = 256
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m) for each pair (u, v): m is the smallest v of u.
+
+    A node's pairs are dealt over ``SHARES`` shares and meet the minimum there, so a node that holds
+    most of all pairs is the work of many tasks; what is joined by node alone is one row a share.
+    """
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(SHARES)))
+    shares = dealt.groupBy("u", "share").agg(F.min("v").alias("m"))
+    least = shares.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(shares.select("u", "share").join(least, "u"), ["u", "share"]).select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the smallest of it and its neighbours."""
-    near = _both_ways(edges)
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    near = _with_least(_both_ways(edges))
+    return near.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of these; edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    near = _with_least(edges)
+    tied = near.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.unionByName(near.filter("v = m").select("u", "v")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -15,6 +15,7 @@ import tiktoken
 from prismlake.llm import langid, toxicity
 from prismlake.llm.bpe import bpe_digests, decode_bpe, encode_bpe
 from prismlake.llm.embedding_dedup import embedding_duplicates
+from prismlake.llm.graph import components
 from prismlake.llm.minhash import near_duplicates
 from prismlake.llm.mixing import mix
 from prismlake.llm.pieces import TABLE_CHARS, PieceEncoder, safe_pieces
@@ -207,3 +208,9 @@ def test_toxicity_of_few_and_balanced_labels(spark):
             assert all(scores[k] > 0.7 for k in range(1, 18, 2)) and all(scores[k] < 0.3 for k in range(0, 18, 2))
         else:
             assert all(abs(s - 0.5) < 1e-6 for s in scores.values())
+
+
+def test_components_with_a_node_of_most_edges(spark):
+    hub, chain, loop = [(9000, i) for i in range(3000)], [(20_000 + i, 20_001 + i) for i in range(60)], [(7, 7), (50_000, 50_000)]
+    got = {(r.node, r.root) for r in components(spark.createDataFrame([*hub, *chain, *loop, *hub[:50]], "u long, v long")).collect()}
+    assert got == {(n, 0) for n in [*range(3000), 9000]} | {(n, 20_000) for n in range(20_000, 20_061)}

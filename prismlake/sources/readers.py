@@ -14,11 +14,9 @@ from pyspark.sql import types as T
 from ..functions.scalars import e7_to_degrees, iso_utc, parse_utc, plain_double, point_uuid, uuid_text
 from ..operators.schema import CORE, assign_df_id, clip_coordinates, normalize, rules
 from ..scratch import stored
+from .gpx_points import gpx_points
 from .json_array import json_array_entries
 
-_POINT = "array<struct<_lat:double,_lon:double,time:string,name:string,cmt:string,desc:string>>"
-_GPX = f"trk array<struct<trkseg:array<struct<trkpt:{_POINT}>>>>, wpt {_POINT}, _corrupt string"
-
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One object a line; a bad line is an error that shows it and its place. Missing core columns are null, times parsed, rows checked and numbered.
@@ -89,7 +87,8 @@ def discover_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 def _with_ids(points: DataFrame) -> DataFrame:
     """UUIDs from the first point, by time, of each file and the point itself; order of the file's points decides nothing."""
     parts = [iso_utc(F.col("TIMESTAMP_UTC")), F.col("DATA_TYPE"), plain_double(F.col("GPS_LATITUDE")), plain_double(F.col("GPS_LONGITUDE"))]
-    firsts = points.groupBy("SOURCE_FILE").agg(F.min(F.struct("TIMESTAMP_UTC", "DATA_TYPE", "GPS_LATITUDE", "GPS_LONGITUDE")).alias("_f")).select(F.col("SOURCE_FILE").alias("_file"), "_f")
+    # one row a file; stored, so that Spark knows how few they are and does not deal all points by file
+    firsts = stored(points.groupBy("SOURCE_FILE").agg(F.min(F.struct("TIMESTAMP_UTC", "DATA_TYPE", "GPS_LATITUDE", "GPS_LONGITUDE")).alias("_f")).select(F.col("SOURCE_FILE").alias("_file"), "_f"), "first-points")
     joined = points.join(firsts, F.col("SOURCE_FILE") == F.col("_file"))
     first = [iso_utc(F.col("_f.TIMESTAMP_UTC")), plain_double(F.col("_f.GPS_LATITUDE")), plain_double(F.col("_f.GPS_LONGITUDE"))]
     marked = joined.withColumn("UUID", point_uuid(first, [parts[0], parts[2], parts[3], parts[1]]))
@@ -100,20 +99,15 @@ def read_gpx(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(points, quarantine): track points and waypoints with a time and coordinates; files that are not GPX.
 
     The quarantine names every file without a ``gpx`` element around well-formed XML, empty files
-    aside; none is lost between the two.
+    aside; none is lost between the two. A file of any size is read by many tasks, each of which takes
+    the points out of its share.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gpx").text(folder, wholetext=True)
-    files = raw.select(F.col("_metadata.file_path").alias("SOURCE_FILE"), F.from_xml("value", _GPX, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("g"), "value")
-    # an HTML page parses too, to a row of nulls
-    is_gpx = F.coalesce(F.col("g").isNotNull() & F.col("g._corrupt").isNull() & F.col("value").rlike(r"(?s)\A\ufeff?\s*(<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(\w+:)?gpx[\s>/]"), F.lit(False))
-    good = files.filter(is_gpx)
-    bad = files.filter(~is_gpx & (F.trim("value") != "")).select("SOURCE_FILE")
-    tracks = good.select("SOURCE_FILE", F.explode("g.trk").alias("t")).select("SOURCE_FILE", F.explode("t.trkseg").alias("s")).select("SOURCE_FILE", F.lit("GPX_TRACKPOINT").alias("DATA_TYPE"), F.inline("s.trkpt"))
-    marks = good.select("SOURCE_FILE", F.lit("GPX_WAYPOINT").alias("DATA_TYPE"), F.inline("g.wpt"))
-    both = tracks.withColumns({"name": F.lit(None).cast("string"), "cmt": F.lit(None).cast("string"), "desc": F.lit(None).cast("string")}).unionByName(marks)
-    points = both.select("SOURCE_FILE", "DATA_TYPE", F.col("name").alias("NAME"), F.coalesce("cmt", "desc").alias("CAPTION"), F.col("time").alias("TIMESTAMP_MAYBE_TIMEZONE_AWARE"), parse_utc(F.col("time")).alias("TIMESTAMP_UTC"), F.col("_lat").alias("GPS_LATITUDE"), F.col("_lon").alias("GPS_LONGITUDE"))
+    found, bad = gpx_points(spark, folder)
+    is_mark = F.col("kind") == "wpt"
+    texts = [F.when(is_mark, value).alias(name) for name, value in (("NAME", F.col("point.name")), ("CAPTION", F.coalesce("point.cmt", "point.desc")))]
+    points = found.select(F.col("file").alias("SOURCE_FILE"), F.when(is_mark, "GPX_WAYPOINT").otherwise("GPX_TRACKPOINT").alias("DATA_TYPE"), *texts, F.col("point.time").alias("TIMESTAMP_MAYBE_TIMEZONE_AWARE"), parse_utc(F.col("point.time")).alias("TIMESTAMP_UTC"), F.col("point._lat").alias("GPS_LATITUDE"), F.col("point._lon").alias("GPS_LONGITUDE"))
     usable = points.dropna(subset=["TIMESTAMP_UTC", "GPS_LATITUDE", "GPS_LONGITUDE"])
-    return _with_ids(usable), bad
+    return _with_ids(usable), bad.select(F.col("file").alias("SOURCE_FILE"))
 
 
 def read_takeout(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

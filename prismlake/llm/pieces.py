@@ -21,13 +21,11 @@ import pyarrow.compute as pc
 # each is safe; of three and more, or two at the end, several may be one word.
 _LONG_RUN = re.compile(r"\s\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
-# A word of letters or of digits ends where punctuation follows.
-_WORD_CUT = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])")
 
 #: A worker forgets its pieces after so many characters of them.
-TABLE_CHARS = 8 << 20
-#: Pieces that are encoded in one call.
-JOINED_PIECES = 2000
+TABLE_CHARS = 12 << 20
+#: Pieces that are encoded in one call; a longer text costs more for each of them.
+JOINED_PIECES = 200
 
 
 def safe_pieces(text: str) -> list[str]:
@@ -100,9 +98,8 @@ def byte_batches(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[pa.Arr
 class PieceEncoder:
     """Encodes texts with a tokenizer file, without added special tokens.
 
-    Special strings within texts are read as the file says. New pieces are cut further where
-    punctuation follows a letter or digit, and the new parts encoded many at a time, with a special
-    token of the file between them, where it has one.
+    Special strings within texts are read as the file says. New pieces are encoded many at a time,
+    with a special token of the file between them, where it has one.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -115,34 +112,18 @@ class PieceEncoder:
         added = self._tokenizer.get_added_tokens_decoder()
         if any(re.search(r"\s", token.content) for token in added.values()):
             raise ValueError("texts can't be cut at spaces: a special string holds one")
-        self._special = [token.content for token in added.values()]
         plain = [(number, token.content) for number, token in sorted(added.items()) if token.special and not (token.lstrip or token.rstrip or token.single_word or token.normalized)]
         self._between = plain[0] if plain else None
         self._forget()
 
     def _forget(self) -> None:
         self._numbers, self._runs, self._held = Numbers(), Runs(), 0
-        self._parts, self._part_runs = Numbers(), Runs()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
-        if not fresh:
-            return
-        everything = "\0".join(fresh)
-        if any(s in everything for s in self._special):
-            parts = [[p] if any(s in p for s in self._special) else _WORD_CUT.split(p) for p in fresh]
-        else:
-            parts = list(map(_WORD_CUT.split, fresh))
-        ends = np.cumsum([0, *map(len, parts)])
-        numbers = np.fromiter(map(self._parts.__getitem__, chain.from_iterable(parts)), np.int64, int(ends[-1]))
-        self._encode_parts(self._parts.taken())
-        data, places = self._part_runs.take(numbers)
-        self._runs.add(data, np.diff(places[ends]))
-        self._held += len(everything)
-
-    def _encode_parts(self, fresh: list[str]) -> None:
+        self._held += sum(map(len, fresh))
         for at in range(0, len(fresh), JOINED_PIECES):
             part = fresh[at : at + JOINED_PIECES]
             if self._between:
@@ -150,10 +131,11 @@ class PieceEncoder:
                 data = np.array(self._ids([mark.join(part)])[0], np.int32)
                 cuts = np.flatnonzero(data == number)
                 if len(cuts) == len(part) - 1:
-                    self._part_runs.add(np.delete(data, cuts), np.diff(np.r_[-1, cuts, len(data)]) - 1)
+                    self._runs.add(np.delete(data, cuts), np.diff(np.r_[-1, cuts, len(data)]) - 1)
                     continue
             ids = self._ids(part)  # one holds the mark itself
-            self._part_runs.add(np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+            self._runs.add(np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
     def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all pieces, where those of each text begin and the last end)."""
         if self._held > TABLE_CHARS:

@@ -214,3 +214,19 @@ def test_components_with_a_node_of_most_edges(spark):
     hub, chain, loop = [(9000, i) for i in range(3000)], [(20_000 + i, 20_001 + i) for i in range(60)], [(7, 7), (50_000, 50_000)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame([*hub, *chain, *loop, *hub[:50]], "u long, v long")).collect()}
     assert got == {(n, 0) for n in [*range(3000), 9000]} | {(n, 20_000) for n in range(20_000, 20_061)}
+
+
+def test_new_pieces_are_encoded_few_at_a_time_and_once():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    encoder, whole = PieceEncoder(JSON), Tokenizer.from_file(JSON)
+    texts = [" ".join(f"w{n}-{n % 7},x{n}" for n in range(at, at + 500)) for at in range(0, 3000, 500)] + ["a<|endoftext|>b c"]
+    plain, calls = encoder._ids, []
+    encoder._ids = lambda found: calls.append(found) or plain(found)
+    data, places = encoder.encode(pa.array(texts))
+    assert [data[a:b].tolist() for a, b in zip(places, places[1:])] == [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    assert max(len(text.split("<|endoftext|>")) for found in calls for text in found) <= 201
+    calls.clear()
+    encoder.encode(pa.array(texts))
+    assert not calls

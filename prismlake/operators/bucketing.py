@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spatial import LEVELS, cell_key
+from ..functions.spatial import DEPTH, LEVELS, cell_key, cell_paths, level_depth
+from ..scratch import stored
 from .schema import SEMANTIC_LAT, SEMANTIC_LON, TIME_LEVELS, assign_df_id, bucket_column_name
 
 UNKNOWN, MARK = "Unknown", "?"
@@ -60,6 +65,43 @@ def level_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return counted.select(F.inline(rows))
 
 
+def _path_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's sorted paths: the first, the last, and how many cells of each level they lie in."""
+    shifts = [2 * (DEPTH - level_depth(k)) for k in range(LEVELS)]
+    first, last, cells = None, None, np.ones(LEVELS, np.int64)
+    for batch in batches:
+        paths = batch.column(0).to_numpy()
+        if not len(paths):
+            continue
+        if first is None:
+            first = last = int(paths[0])
+        paths, last = np.r_[last, paths], int(paths[-1])
+        paths = paths[np.r_[True, paths[1:] != paths[:-1]]]
+        cells += [np.count_nonzero(np.diff(paths >> s)) for s in shifts]
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([last]), pa.array([cells.tolist()], pa.list_(pa.int64()))], names=["first", "last", "cells"])
+
+
+def geo_level_counts(df: DataFrame, lat: str = "GPS_LATITUDE", lon: str = "GPS_LONGITUDE", family: str = "geo") -> DataFrame:
+    """``level_counts`` of the cells of all levels, without a table of cells in memory.
+
+    Points are sorted by one number whose leading bits name their cells, so that each cell is one run
+    of rows: a task counts where runs begin, and only the ends of tasks, one row each, are compared.
+    """
+    ordered = cell_paths(df, lat, lon).repartitionByRange("path").sortWithinPartitions("path")
+    ends = stored(ordered.mapInArrow(_path_changes, "first long, last long, cells array<long>"), "cell-runs")
+    placed = ends.withColumn("before", F.lag("last").over(Window.orderBy("first")))
+
+    def n(k: int) -> Column:
+        shift = 2 * (DEPTH - level_depth(k))
+        shared = F.coalesce(F.shiftright("before", shift) == F.shiftright("first", shift), F.lit(False))
+        return F.coalesce(F.sum(F.col("cells")[k] - shared.cast("long")), F.lit(0))
+
+    counted = placed.agg(*[n(k).alias(f"n{k}") for k in range(LEVELS)])
+    rows = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(bucket_column_name(family, k)).alias("column"), F.col(f"n{k}").alias("n")) for k in range(LEVELS)])
+    return counted.select(F.inline(rows))
+
+
 def finest_fitting(df: DataFrame, finest_first: list[str], max_rows: int) -> str | None:
     """None if the rows fit as they are; else the finest column with at most ``max_rows`` values, or the coarsest.
 

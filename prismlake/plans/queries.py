@@ -140,7 +140,7 @@ def geo_cells(spark, sf_dir):
 
 @_query(f"{_GEO} SELECT CAST(k AS INTEGER) AS level, n FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT {_cell(k)}) AS n FROM g" for k in range(16)) + ")")
 def geo_level_counts(spark, sf_dir):
-    return B.level_counts(B.add_geo_cells(_events(spark, sf_dir)), [bucket_column_name("geo", k) for k in range(16)]).select("level", "n")
+    return B.geo_level_counts(_events(spark, sf_dir)).select("level", "n")
 
 
 _GEO_BUCKETS = f"b AS (SELECT {_cell(3)} AS cell, event_type AS grp, count(*) AS n, min(df_id) AS df_id FROM g WHERE x IS NOT NULL GROUP BY 1, 2)"
